@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, quality, urls
+from . import bpe, exact, licenses, packing, quality, toxicity, urls
 
 
 def queries() -> dict:
     return {
+        "op2_packing": packing.op2_packing,
         "op3_url_filter": urls.op3_url_filter,
+        "op6_exact_dedup": exact.op6_exact_dedup,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_license_scan": licenses.op8_license_scan,
         "op9_quality_rules": quality.op9_quality_rules,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_url_filter": urls.OP3_SQL, "op8_license_scan": licenses.OP8_SQL, "op9_quality_rules": quality.OP9_SQL}
+    return {"op3_url_filter": urls.OP3_SQL, "op6_exact_dedup": exact.OP6_SQL, "op8_license_scan": licenses.OP8_SQL, "op9_quality_rules": quality.OP9_SQL}
