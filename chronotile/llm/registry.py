@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, licenses, packing, quality, toxicity, urls
+from . import bpe, exact, licenses, packing, quality, suffixtree, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op2_packing": packing.op2_packing,
         "op3_url_filter": urls.op3_url_filter,
+        "op5_lm_score": suffixtree.op5_lm_score,
         "op6_exact_dedup": exact.op6_exact_dedup,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_license_scan": licenses.op8_license_scan,
