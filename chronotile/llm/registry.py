@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, licenses, packing, quality, suffixtree, toxicity, urls
+from . import bpe, exact, licenses, lines, near, packing, quality, suffixtree, toxicity, urls
 
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": lines.op1_line_dedup,
         "op2_packing": packing.op2_packing,
         "op3_url_filter": urls.op3_url_filter,
+        "op4_near_dedup": near.op4_near_dedup,
         "op5_lm_score": suffixtree.op5_lm_score,
         "op6_exact_dedup": exact.op6_exact_dedup,
         "op7_byte_bpe": bpe.op7_byte_bpe,
