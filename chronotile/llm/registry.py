@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import bpe, exact, licenses, lines, near, packing, quality, suffixtree, toxicity, urls
 
 
@@ -17,8 +19,12 @@ def queries() -> dict:
         "op8_license_scan": licenses.op8_license_scan,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_toxicity": toxicity.op10_toxicity,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_url_filter": urls.OP3_SQL, "op6_exact_dedup": exact.OP6_SQL, "op8_license_scan": licenses.OP8_SQL, "op9_quality_rules": quality.OP9_SQL}
+    found = {"op3_url_filter": urls.OP3_SQL, "op6_exact_dedup": exact.OP6_SQL, "op8_license_scan": licenses.OP8_SQL, "op9_quality_rules": quality.OP9_SQL}
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
