@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronotile.functions import columns as C
 from chronotile.operators import cm, grid, kernels, landcover, objects, obs, scenes, segments
-from chronotile.schema import BANDS, Grid
+from chronotile.schema import BANDS, OBS, Grid
 from chronotile.sources import adapters as A
+from chronotile.streaming import nrt
 
 GRID = Grid(n_rows=100, n_cols=200, n_block_x=4, n_block_y=5)
 YEARS = (1996, 1998, 2000)
@@ -319,6 +322,44 @@ def cold_magnitudes(spark, d):
     return kernels.magnitudes(A.obs(spark, d), 728000, 50, 60)
 
 
+@query()
+def sccd(spark, d):
+    return nrt.detect(A.obs(spark, d))
+
+
+@query()
+def sccd_update(spark, d):
+    o = A.obs(spark, d)
+    return nrt.update(nrt.detect(o.filter("date < 729900")), o.filter("date >= 729900"))
+
+
+@query()
+def sccd_identify(spark, d):
+    return nrt.identify(nrt.detect(A.obs(spark, d)))
+
+
+@query()
+def sccd_stream(spark, d):
+    """The observations as a stream of two batches; the newest state of each pixel."""
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/chronotile'}/stream-{uuid.uuid4().hex}"
+    o = A.obs(spark, d)
+    for k, part in enumerate((o.filter("date < 729900"), o.filter("date >= 729900"))):
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(OBS).parquet(f"{base}/in")
+        q = nrt.stream(source).writeStream.outputMode("update").foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{base}/out/batch={n}")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return nrt.latest(spark.read.parquet(f"{base}/out"))
+
+
+@query()
+def forest_landcover(spark, d):
+    """Classes of vectors by a forest that learned from a stratified sample of them."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("pos"), F.col("embedding").cast("array<double>").alias("f"), F.col("label").alias("cls"))
+    labels = e.select("pos", "cls")
+    model = landcover.train(e.select("pos", "f"), landcover.sample(labels, landcover.allocation(labels, 400, 20, 100)), trees=20, depth=8)
+    return landcover.classify(e.select("pos", F.lit(2001).alias("year"), "f"), model)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return cold(spark, "/root/testdata/sf0.001")
 
