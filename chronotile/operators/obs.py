@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from chronotile.functions import columns as C
 from chronotile.schema import BANDS
 
-SERIES = Window.partitionBy("pos").orderBy("date", "seq")
+
+
+def series():
+    return Window.partitionBy("pos").orderBy("date", "seq")
 
 
 def tally(obs: DataFrame) -> DataFrame:
@@ -38,8 +41,8 @@ def ascending(obs: DataFrame) -> DataFrame:
 def variability(obs: DataFrame, least_gap: int = 0) -> DataFrame:
     """By pixel and band the median absolute difference of successive observations (more than least_gap days
     apart), with the median and the largest gap in days."""
-    gap = (F.lead("date").over(SERIES) - F.col("date")).alias("gap")
-    steps = obs.select("pos", gap, *[F.abs(F.lead(b).over(SERIES) - F.col(b)).alias(b) for b in BANDS]).filter(F.col("gap") > least_gap)
+    gap = (F.lead("date").over(series()) - F.col("date")).alias("gap")
+    steps = obs.select("pos", gap, *[F.abs(F.lead(b).over(series()) - F.col(b)).alias(b) for b in BANDS]).filter(F.col("gap") > least_gap)
     return steps.groupBy("pos").agg(*[F.median(b).alias(f"min_rmse_{b}") for b in BANDS], F.median("gap").alias("median_gap"), F.max("gap").alias("max_gap"))
 
 
@@ -50,7 +53,7 @@ def date_range(obs: DataFrame, interval: int = 60) -> DataFrame:
 
 def nearest(obs: DataFrame, breaks: DataFrame) -> DataFrame:
     """For each (pos, break_date) the observation on that day, else the nearest (of equals the first), by its number from 0."""
-    numbered = obs.withColumn("at", F.row_number().over(SERIES) - 1)
+    numbered = obs.withColumn("at", F.row_number().over(series()) - 1)
     away = F.abs(F.col("date") - F.col("break_date"))
     return numbered.join(breaks, "pos").groupBy("pos", "break_date").agg(F.min_by(F.struct("at", "date"), F.struct(away, F.col("at"))).alias("m")).select("pos", "break_date", F.col("m.at").alias("at"), F.col("m.date").alias("date"))
 

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from chronotile.functions import columns as C
 from chronotile.schema import NO_DATA
 
-ORDER = Window.partitionBy("pos").orderBy("t_start", "seg")
+
+
+def order():
+    return Window.partitionBy("pos").orderBy("t_start", "seg")
 
 
 def at_day(segments: DataFrame, days: DataFrame, to_year_end: bool = False) -> DataFrame:
@@ -17,7 +20,7 @@ def at_day(segments: DataFrame, days: DataFrame, to_year_end: bool = False) -> D
     end = F.col("t_end") + 1
     if to_year_end:
         end = C.ordinal(F.make_date(F.year(C.from_ordinal(F.col("t_end"))), F.lit(12), F.lit(31))) + 1
-    span = segments.withColumn("t_until", F.coalesce(F.lead("t_start").over(ORDER), end))
+    span = segments.withColumn("t_until", F.coalesce(F.lead("t_start").over(order()), end))
     near = F.broadcast(days)  # a day a year
     return span.join(near, (F.col("day") >= F.col("t_start")) & (F.col("day") < F.col("t_until"))).drop("t_until")
 
@@ -39,7 +42,7 @@ def _greening(bound: int) -> Column:
 
 def _growing() -> Column:
     """The next segment of the pixel grows: nir slopes up, red and swir1 down, by more than this one's slopes."""
-    here, after = F.col("coefs"), F.lead("coefs").over(ORDER)
+    here, after = F.col("coefs"), F.lead("coefs").over(order())
     return F.coalesce((after[3][1] > F.abs(here[3][1])) & (after[2][1] < -F.abs(here[2][1])) & (after[4][1] < -F.abs(here[4][1])), F.lit(False))
 
 
@@ -54,7 +57,7 @@ def category_obcold(segments: DataFrame) -> DataFrame:
     that turns four of five bands back is a 4 (transition). The kind depends on that of the pixel's
     break before, so a pixel's segments are folded in order."""
     plain = F.when(_greening(250) & _growing(), 3).when(_greening(250), 2).otherwise(1)
-    rows = segments.withColumns({"plain": plain, "before": F.lag("t_break").over(ORDER), "was": F.lag("magnitude").over(ORDER)}).filter("t_break > 0 AND change_prob = 100")
+    rows = segments.withColumns({"plain": plain, "before": F.lag("t_break").over(order()), "was": F.lag("magnitude").over(order())}).filter("t_break > 0 AND change_prob = 100")
     flips = F.size(F.filter(F.sequence(F.lit(1), F.lit(5)), lambda b: F.element_at("magnitude", b + 1) * F.element_at("was", b + 1) < 0))
     back = F.coalesce((F.col("t_break") - F.col("before") <= 365.25 * 5) & (flips >= 4), F.lit(False))
     lists = rows.groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("t_start", "seg", "t_break", "plain", back.alias("back")))).alias("list"))  # a pixel has a few dozen segments
