@@ -11,7 +11,7 @@ from chronotile.schema import FILL
 def clear_ratio(obs: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Scenes (date, ratio) whose share of clear and water among filled pixels is above the threshold; none is left out for 0."""
     seen = F.count_if(F.col("qa") != FILL)
-    ratio = F.when(F.lit(threshold) <= 0, F.lit(1.0)).otherwise(F.count_if(F.col("qa") < 2) / seen)
+    ratio = F.when(F.lit(threshold) <= 0, F.lit(1.0)).otherwise(F.try_divide(F.count_if(F.col("qa") < 2).cast("double"), seen.cast("double")))
     return obs.groupBy("date").agg(ratio.alias("ratio")).filter(F.col("ratio") > threshold)
 
 

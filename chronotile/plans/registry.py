@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronotile.functions import columns as C
-from chronotile.operators import cm, grid, kernels, landcover, objects, obs, scenes, segments
+from chronotile.operators import cm, grid, kernels, landcover, objects, obs, raster, scenes, segments
 from chronotile.schema import BANDS, OBS, Grid
+from chronotile.plans import workflows
 from chronotile.sources import adapters as A
 from chronotile.streaming import nrt
 
@@ -108,7 +109,7 @@ def c2_scale(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", C.scale_reflectance(v).alias("sr"), C.scale_temperature(v).alias("st"))
 
 
-@query(f"{_O} SELECT date, round(count(*) FILTER (qa < 2) / count(*) FILTER (qa <> 255), 6) AS ratio FROM obs GROUP BY date HAVING count(*) FILTER (qa < 2) / count(*) FILTER (qa <> 255) > 0.7")
+@query(f"{_O} SELECT date, round(count(*) FILTER (qa < 2) / nullif(count(*) FILTER (qa <> 255), 0), 6) AS ratio FROM obs GROUP BY date HAVING count(*) FILTER (qa < 2) / nullif(count(*) FILTER (qa <> 255), 0) > 0.7")
 def clear_ratio(spark, d):
     return scenes.clear_ratio(A.obs(spark, d), 0.7).withColumn("ratio", F.round("ratio", 6))
 
@@ -360,6 +361,43 @@ def forest_landcover(spark, d):
     return landcover.classify(e.select("pos", F.lit(2001).alias("year"), "f"), model)
 
 
+def _raster_maps(spark, d) -> DataFrame:
+    """Two maps of 50 columns: bumps over parts."""
+    n = F.col("p_partkey")
+    bump = F.greatest(F.lit(0), 25 - F.abs(n % 50 - 12)) * F.greatest(F.lit(0), 12 - F.abs(F.floor(n / 50) % 25 - 11))
+    part = spark.read.parquet(f"{d}/part.parquet")
+    maps = part.select((n + 1).alias("pos"), F.explode(F.array(F.lit(1), F.lit(2))).alias("cm_idx"), bump.alias("bump"), "p_size")
+    return maps.select("pos", "cm_idx", (F.col("bump") * 12 * F.col("cm_idx") + F.col("p_size")).cast("smallint").alias("cm"), F.lit(5000).cast("smallint").alias("cm_date"))
+
+
+def _segmented(spark, d, method):
+    rows = _raster_maps(spark, d)
+    return raster.segment(rows, Grid(n_rows=-(-rows.agg(F.max("pos")).first()[0] // 50), n_cols=50), method)
+
+
+@query()
+def segment_floodfill(spark, d):
+    return _segmented(spark, d, "floodfill")
+
+
+@query()
+def segment_slic(spark, d):
+    return _segmented(spark, d, "slic")
+
+
+@query()
+def segment_watershed(spark, d):
+    return _segmented(spark, d, "watershed")
+
+
+@query()
+def obcold_objects(spark, d):
+    """Magnitudes, objects, confirmed breaks and segments over the observations as a tile of ten columns."""
+    o = A.obs(spark, d)
+    rows = -(-o.agg(F.max("pos")).first()[0] // 10)
+    return workflows.object_based(o, Grid(n_rows=rows, n_cols=10), 728000, 45, 60)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return cold(spark, "/root/testdata/sf0.001")
 
