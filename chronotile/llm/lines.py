@@ -39,19 +39,23 @@ def _arrays(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _prints(arrays: DataFrame, window: int, long_: int) -> DataFrame:
-    """(did, th, at, h): the fingerprints' places."""
+    """(did, th, at, h, before, after, words): the fingerprints' places, with the hashes of the lines around them."""
     minima = f"transform(sequence(0, size(h) - {window}), s -> -array_min(transform(sequence(s, s + {window - 1}), j -> struct(h[j] as v, -j as j))).j)"
     least = f"CASE WHEN size(h) >= {window} THEN {minima} ELSE array() END"
     wide = f"filter(sequence(0, size(h) - 1), j -> 2 * w[j] >= {long_})"
-    return arrays.select("did", "th", "h", F.explode(F.expr(f"array_union(cast({least} as array<int>), {wide})")).alias("at")).select("did", "th", "at", F.expr("h[at] as h"))
+    places = arrays.select("did", "th", "h", "w", F.explode(F.expr(f"array_union(cast({least} as array<int>), {wide})")).alias("at"))
+    return places.select("did", "th", "at", F.expr("h[at] as h"), F.expr("get(h, at - 1) as before"), F.expr("get(h, at + 1) as after"), F.expr("w[at] as words"))
 
 
 def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, long_: int = LONG, short: int = SHORT) -> DataFrame:
     """(did, th, runs): of each text with something to delete the runs (places of the first and last line)."""
     arrays = _arrays(docs, id_col, text_col)
     prints = common.materialize(_prints(arrays, window, long_), "prints")
-    first = prints.groupBy("h").agg(F.min(F.struct("did", "th", "at")).alias("first"), F.max(F.struct("did", "th", "at")).alias("last")).filter("first <> last").select("h", "first")
-    pairs = prints.join(first, "h").filter("first <> struct(did, th, at)").select("did", "th", F.col("first.did").alias("adid"), F.col("first.th").alias("ath"), F.expr("at - first.at as away")).distinct()
+    first = prints.groupBy("h").agg(F.min(F.struct("did", "th", "at", "before", "after")).alias("first"), F.count("*").alias("k")).filter("k > 1").select("h", "first")
+    again = prints.join(first, "h").filter("NOT (did = first.did AND th = first.th AND at = first.at)")
+    # A line that is alone in a match is a run only if it is long itself.
+    more = again.filter(f"words >= {long_} OR before = first.before OR after = first.after")
+    pairs = more.select("did", "th", F.col("first.did").alias("adid"), F.col("first.th").alias("ath"), F.expr("at - first.at as away")).distinct()
     early = arrays.select(F.col("did").alias("adid"), F.col("th").alias("ath"), F.col("h").alias("ah"))
     both = pairs.join(early, ["adid", "ath"]).join(arrays, ["did", "th"])
     both = both.select("did", "th", "w", "idx", "h", "ah", "away", F.expr("greatest(0, away) as lo"), F.expr("least(size(h), size(ah) + away) as hi"))
@@ -60,8 +64,9 @@ def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     end = "filter(sequence(0, size(eq) - 1), i -> eq[i] AND (i = size(eq) - 1 OR NOT eq[i + 1]))"
     found = both.select("did", "th", "w", "idx", F.expr(f"zip_with({begin}, {end}, (a, b) -> struct(lo + a as a, lo + b as b)) as found"))
     words = "aggregate(slice(w, r.a + 1, r.b - r.a + 1), 0, (s, x) -> s + x)"
-    good = found.select("did", "th", F.expr(f"filter(found, r -> {words} >= {long_} OR (r.b - r.a + 1 >= {window} AND {words} >= {short})) as good"), "idx").filter("size(good) > 0").select("did", "th", F.expr("transform(good, r -> struct(idx[r.a] as a, idx[r.b] as b)) as good"))
-    return good.groupBy("did", "th").agg(F.flatten(F.collect_set("good")).alias("runs"))
+    good = f"filter(found, r -> {words} >= {long_} OR (r.b - r.a + 1 >= {window} AND {words} >= {short}))"
+    each = found.select("did", "th", F.explode(F.expr(f"transform({good}, r -> struct(idx[r.a] as a, idx[r.b] as b))")).alias("run"))
+    return each.groupBy("did", "th").agg(F.collect_set("run").alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:

@@ -179,7 +179,17 @@ def test_lines(docs):
             first.setdefault(h[j], (i, j))
     text = dict(each)
     for i, ls in each:
-        for a, away in {(first[hashes[i][j]][0], j - first[hashes[i][j]][1]) for j in prints[i] if first[hashes[i][j]] != (i, j)}:
+        h = hashes[i]
+        found = set()
+        for j in prints[i]:
+            a, k = first[h[j]]
+            if (a, k) == (i, j):
+                continue
+            g = hashes[a]
+            beside = (j and k and h[j - 1] == g[k - 1]) or (j + 1 < len(h) and k + 1 < len(g) and h[j + 1] == g[k + 1])
+            if beside or counts[i][j] >= lines.LONG:
+                found.add((a, j - k))
+        for a, away in found:
             p, end = max(0, away), min(len(ls), len(text[a]) + away)
             while p < end:
                 q = p
