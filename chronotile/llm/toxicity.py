@@ -5,9 +5,10 @@ each character of a word from those before it (up to ORDER - 1, with the word's
 The highest order is a class's own; below it stand continuation counts that both classes share,
 so that rare expressions are smoothed alike by both and tell little unless a class has
 shown them. A word's difference of log-likelihoods is a sum over its characters; a
-text's is that of its words, divided by their number. Beside this mean over the text,
-the highest mean over a window of words and the weight of the most telling
-words enter a logistic function, fitted on labelled texts that the two models have not seen.
+text's is that of its words, divided by their number. Beside this mean over the text, the
+highest mean over a window of words, the means of its three and six most telling words and the
+log of its length enter a logistic function. It is fitted on all labelled texts of the sample, each
+measured by models of the folds that it isn't in.
 
 Learning takes at most PER_CLASS labelled texts of each class (those of the smallest hash of the id):
 a bounded sample, whatever the size of the corpus. Rows whose crc32(id as text) modulo 5
@@ -20,6 +21,7 @@ Rows that repeat are scored each on its own; an input column named like a result
 from __future__ import annotations
 
 from collections import Counter
+from heapq import nlargest
 from math import log
 
 import numpy as np
@@ -30,7 +32,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-ORDER, DISCOUNT = 6, 0.75
+ORDER, DISCOUNT, FOLDS = 6, 0.75, 4
+FEATURES = ["mean", "window", "top3", "top6", "length"]
 #: Labelled texts of each class that the models learn from, at most.
 PER_CLASS = 4000
 WINDOW = 32
@@ -117,23 +120,25 @@ class Scorer:
         self.model, self.weights = model, weights
         self.known: dict[bytes, float] = {}
 
-    def features(self, text: bytes) -> tuple[float, float, float]:
-        """The mean difference of a text's words, the highest mean over WINDOW words, and the mean of the three highest."""
+    def features(self, text: bytes) -> tuple[float, ...]:
+        """FEATURES: the mean difference of a text's words, the highest mean over WINDOW words, the means of the
+        three and six highest of its different words, and the log of their number."""
         words = words_of(text)
         if not words:
-            return 0.0, 0.0, 0.0
+            return (0.0,) * len(FEATURES)
         known = self.known
         if len(known) > MAX_KEPT:
             known.clear()
-        for w in set(words):
+        different = set(words)
+        for w in different:
             if w not in known:
                 known[w] = self.model.difference(w)
         d = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
         total = np.concatenate([[0.0], np.cumsum(d)])
         w = min(WINDOW, len(d))
         most = float((total[w:] - total[:-w]).max()) / WINDOW
-        top = np.sort(np.partition(d, -3)[-3:] if len(d) > 3 else d)
-        return float(d.mean()), most, float(np.maximum(top, 0).sum()) / 3
+        top = nlargest(6, map(known.__getitem__, different))
+        return float(d.mean()), most, sum(max(x, 0.0) for x in top[:3]) / 3, sum(max(x, 0.0) for x in top) / 6, log(len(d))
 
     def score(self, text: bytes) -> float:
         z = self.weights[0] + float(np.dot(self.weights[1:], self.features(text)))
@@ -156,46 +161,51 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(text, toxic, part) of the labelled texts to learn from; part 0 for the models, 1 for the weights."""
+    """(text, toxic, fold) of the labelled texts to learn from."""
     labels = labels.select(F.col("doc_id").alias("__id"), "toxic").filter("toxic in (0, 1) and __id is not null").filter(common.bucket("__id", 5) != 0)
     labels = labels.groupBy("__id").agg(F.max("toxic").alias("toxic"))
     each = [labels.filter(F.col("toxic") == c).orderBy(F.xxhash64("__id"), "__id").limit(PER_CLASS) for c in (0, 1)]
     ids = docs.sparkSession.createDataFrame([tuple(r) for x in each for r in x.collect()], labels.schema)  # 2 * PER_CLASS rows at most
-    part = (F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(4)) == 0).cast("int")
-    return docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(ids), "__id").select("text", "toxic", part.alias("part"))
+    fold = F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(FOLDS)).cast("int")
+    return docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(ids), "__id").select("text", "toxic", fold.alias("fold"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Scorer | None:
     sample = common.materialize(_sample(docs, labels, id_col, text_col).repartition(16, F.xxhash64("text")), "labelled")
 
     def count(batches):
-        seen = (Counter(), Counter())
+        seen = [(Counter(), Counter()) for _ in range(FOLDS)]
         for batch in common.pieces(batches):
-            for text, toxic in zip(common.texts(batch), batch.column(1).to_pylist(), strict=True):
+            for text, toxic, fold in zip(common.texts(batch), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 for w in set(words_of(text)):  # a word counts once a text, however often it is repeated there
-                    seen[toxic].update(grams(w))
-        keys = list(seen[0] | seen[1])
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(keys, pa.string()), "a": pa.array([seen[0][k] for k in keys], pa.int64()), "b": pa.array([seen[1][k] for k in keys], pa.int64())})
-
-    learned = sample.filter("part = 0").select("text", "toxic")
-    rows = learned.mapInArrow(count, "gram string, a long, b long").groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter("a + b > 1").collect()
-    counts = sorted(tuple(r) for r in rows)  # bounded by the sample
+                    seen[fold][toxic].update(grams(w))
+        for fold, (a, b) in enumerate(seen):
+            keys = list(a | b)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([fold] * len(keys), pa.int32()), pa.array([a[k] for k in keys], pa.int64()), pa.array([b[k] for k in keys], pa.int64())], names=["gram", "fold", "a", "b"])
+
+    by_fold = [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for c in "ab" for k in range(FOLDS)]
+    rows = sample.mapInArrow(count, "gram string, fold int, a long, b long").groupBy("gram").agg(*by_fold, F.sum("a").alias("a"), F.sum("b").alias("b")).filter("a + b > 1").drop("a", "b").collect()
+    folds = sorted((r[0], r[1 : FOLDS + 1], r[FOLDS + 1 :]) for r in rows)  # bounded by the sample
+    counts = [(g, sum(a), sum(b)) for g, a, b in folds]
     if not any(a for _, a, _ in counts) or not any(b for _, _, b in counts):
         return None
-    scorer = Scorer(Model(counts), [0.0] * 4)
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
-
-    def measure(batches):
-        own = Scorer(Model(sent.value), [0.0] * 4)
-        for batch in common.pieces(batches):
-            rows = [own.features(t) for t in common.texts(batch)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.float64()) for c in zip(*rows, strict=True)), batch.column(1)], names=["x", "y", "z", "toxic"])
-
-    fitted = np.array([tuple(r) for r in sample.filter("part = 1").select("text", "toxic").coalesce(6).mapInArrow(measure, "x double, y double, z double, toxic int").collect()], float)
+    sent = docs.sparkSession.sparkContext.broadcast(folds)
+    measured = []
+    for k in range(FOLDS):
+
+        def measure(batches, k=k):
+            own = Scorer(Model([(g, x, y) for g, a, b in sent.value if (x := sum(a) - a[k]) + (y := sum(b) - b[k]) > 1]), [])
+            for batch in common.pieces(batches):
+                rows = [own.features(t) for t in common.texts(batch)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.float64()) for c in zip(*rows, strict=True)), batch.column(1)], names=[*FEATURES, "toxic"])
+
+        part = sample.filter(F.col("fold") == k).select("text", "toxic").coalesce(2)
+        measured += part.mapInArrow(measure, ", ".join(f"{n} double" for n in FEATURES) + ", toxic int").collect()
     common.release(sample)
-    if not len(fitted) or len(set(fitted[:, 3])) < 2:
+    fitted = np.array([tuple(r) for r in measured], float)
+    if not len(fitted) or len(set(fitted[:, -1])) < 2:
         return None
-    scorer.weights = logistic(fitted[:, :3], fitted[:, 3])
+    scorer = Scorer(Model(counts), logistic(fitted[:, :-1], fitted[:, -1]))
     scorer.counts = counts
     return scorer
 
