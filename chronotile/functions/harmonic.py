@@ -48,10 +48,11 @@ def _settled(gram: np.ndarray, target: np.ndarray, b: np.ndarray, penalty: float
     return out
 
 
-def lasso(x: np.ndarray, y: np.ndarray, df: int, penalty: float = LAMBDA, rounds: int = 400):
+def lasso(x: np.ndarray, y: np.ndarray, df: int, penalty: float = LAMBDA, rounds: int = 400, guess: np.ndarray | None = None):
     """Coefficients (bands x 8), root mean square errors and residuals of bands y over days x. A few
     rounds of coordinate descent on standardised columns, all bands at once as they share them, find the
-    signs; the optimum for these signs is then solved for, and proves them right or asks for more rounds."""
+    signs; the optimum for these signs is then solved for, and proves them right or asks for more rounds.
+    guess: coefficients whose signs are tried first."""
     n, p = len(x), df - 1
     columns = terms(x, df)
     mean, level = columns.mean(0), y.mean(1)
@@ -63,6 +64,35 @@ def lasso(x: np.ndarray, y: np.ndarray, df: int, penalty: float = LAMBDA, rounds
     rows = gram.tolist()
     b = np.zeros((len(y), p))
     open_ = list(range(len(y)))
+
+    def settle(bands: list[int]) -> list[int]:
+        """Solve for the signs in b; the bands for which they weren't the optimum's."""
+        full = [k for k in bands if b[k].all()]
+        left = []
+        if full:
+            try:
+                best = np.linalg.solve(gram, (target[full] - penalty * np.sign(b[full])).T).T
+                good = (np.sign(best) == np.sign(b[full])).all(1)
+                b[[k for k, g in zip(full, good, strict=True) if g]] = best[good]
+                left = [k for k, g in zip(full, good, strict=True) if not g]
+            except np.linalg.LinAlgError:
+                left = full
+        for k in bands:
+            if not b[k].all() and k not in full:
+                try:
+                    best = _settled(gram, target[k], b[k], penalty)
+                except np.linalg.LinAlgError:
+                    best = None
+                if best is None:
+                    left.append(k)
+                else:
+                    b[k] = best
+        return left
+
+    if guess is not None:
+        b[:] = guess[:, 1:df]
+        open_ = settle(open_)
+        b[open_] = 0.0
     spent, each = 0, 6
     while open_:
         for k in open_:
@@ -75,16 +105,7 @@ def lasso(x: np.ndarray, y: np.ndarray, df: int, penalty: float = LAMBDA, rounds
                         new -= row[m] * c[m]
                     c[j] = new - penalty if new > penalty else new + penalty if new < -penalty else 0.0
             b[k] = c
-        left = []
-        for k in open_:
-            try:
-                best = _settled(gram, target[k], b[k], penalty)
-            except np.linalg.LinAlgError:
-                best = None
-            if best is None:
-                left.append(k)
-            else:
-                b[k] = best
+        left = settle(open_)
         open_, spent, each = left, spent + each, 12
         if spent >= rounds:
             break

@@ -20,9 +20,12 @@ _STATUS = f"{SEGMENTS}, status string"
 
 
 def packed(obs: DataFrame) -> DataFrame:
-    """A row for each pixel: its series as arrays in the order of days. One shuffle, by pos."""
+    """A row for each pixel: its series as arrays in the order of days. One shuffle, by pos, whose number of
+    partitions is set: a detector's work is in its CPU time, not in the bytes by which partitions would be joined."""
     fields = ["date", "seq", *BANDS, "qa"]
-    rows = obs.filter("qa < 255").groupBy("pos").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("s"))
+    spark = obs.sparkSession
+    parts = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = obs.filter("qa < 255").repartition(parts, "pos").groupBy("pos").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("s"))
     return rows.select("pos", *[F.col("s")[c].alias(c) for c in fields if c != "seq"])
 
 
