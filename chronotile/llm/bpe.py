@@ -248,6 +248,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
     """docs without its text, with the columns of SCHEMA. ranks_path: a vocabulary file that each machine has at this path."""
 
     def work(batch: list[bytes]) -> dict:
+        common.enter("bpe", _codec.cache_clear)
         rows = _codec(ranks_path, pattern).digests([t.decode() for t in batch])
         return dict(zip(SCHEMA.fieldNames(), map(list, zip(*rows, strict=True)), strict=True))
 

@@ -99,6 +99,21 @@ def map_texts(df: DataFrame, work: Callable[[list[bytes]], dict[str, pa.Array |
     return base.mapInArrow(run, out)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+_owner = [""]
+
+
+def enter(name: str, clear: Callable[[], None]) -> None:
+    """Called where an operator begins to work in a worker: what other operators keep there is dropped, as
+    workers serve many jobs and the caches of all would add up."""
+    _caches[name] = clear
+    if _owner[0] != name:
+        _owner[0] = name
+        for other, drop in _caches.items():
+            if other != name:
+                drop()
+
+
 def bucket(column: str, mod: int):
     """crc32 of the id as text, modulo mod; null ids count as 1, that is as training rows never held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % mod, F.lit(1))

@@ -226,6 +226,7 @@ _held: dict = {}
 
 def _scorer(sent) -> Scorer:
     """The scorer of a broadcast, built once a worker."""
+    common.enter("toxicity", _held.clear)
     if sent.value[1] != _held.get("weights"):
         _held.update(weights=sent.value[1], scorer=Scorer(Model(sent.value[0]), sent.value[1]))
     return _held["scorer"]
