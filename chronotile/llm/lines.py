@@ -8,11 +8,15 @@ pair of texts and distance so found is extended both ways, line by line, and a r
 of equal lines is deleted from the later text if it has LONG words, or WINDOW lines and SHORT
 words. Texts come in the order of their ids (null last; then of a hash), places in that of lines.
 
-A fingerprint is held against its first place only, never against all others, so that rows grow with
+A fingerprint or run is held against its first place only, never against all others, so that rows grow with
 the lines. Lines are compared by 64-bit hashes. Rows that repeat both id and text are one text,
 which isn't deleted for its own sake. A null or empty text has no lines and stays as it is. Other
 columns stay; one named like a result or a working column gives way. An empty table gives
 an empty result.
+
+A fingerprint of three places or more may have its first one in other context than two later ones share.
+With all_runs (as the query has it) the shortest runs around these that count, from each line on and up to each line, are held
+against their own first places too. Every line of a repeated run lies in one of them, so each is found.
 """
 
 from __future__ import annotations
@@ -47,15 +51,38 @@ def _prints(arrays: DataFrame, window: int, long_: int) -> DataFrame:
     return places.select("did", "th", "at", F.expr("h[at] as h"), F.expr("get(h, at - 1) as before"), F.expr("get(h, at + 1) as after"), F.expr("w[at] as words"))
 
 
-def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, long_: int = LONG, short: int = SHORT) -> DataFrame:
+def _shortest(arrays: DataFrame, often: DataFrame, window: int, long_: int, short: int) -> DataFrame:
+    """(did, th, at, key): the shortest runs that count near the places of `often` (did, th, at); equal runs have equal keys."""
+    most = max(window, short)  # a line that counts has a word
+    near = often.groupBy("did", "th").agg(F.collect_set("at").alias("often")).join(arrays, ["did", "th"])
+    size = f"(s, x) -> CASE WHEN s.done THEN s ELSE struct(s.n + 1 as n, s.words + x as words, s.words + x >= {long_} OR (s.n + 1 >= {window} AND s.words + x >= {short}) as done) END, s -> IF(s.done, s.n, 0)"
+    lines = f"array_distinct(flatten(transform(often, a -> sequence(greatest(0, a - {most - 1}), least(size(w) - 1, a + {most - 1})))))"
+    on = f"aggregate(slice(w, i + 1, {most}), struct(0 as n, 0 as words, false as done), {size})"
+    back = f"aggregate(reverse(slice(w, greatest(0, i - {most - 1}) + 1, i - greatest(0, i - {most - 1}) + 1)), struct(0 as n, 0 as words, false as done), {size})"
+    near = near.select("did", "th", "h", "w", F.expr(lines).alias("places"))
+    near = near.select("did", "th", "h", F.expr(f"transform(places, i -> struct(i as at, {on} as n))").alias("ahead"), F.expr(f"transform(places, i -> struct(i as at, {back} as n))").alias("behind"))
+    codes = f"array_union(transform(filter(ahead, x -> x.n > 0), x -> x.at * {most + 1}L + x.n), transform(filter(behind, x -> x.n > 0), x -> (x.at - x.n + 1) * {most + 1}L + x.n))"
+    near = near.select("did", "th", "h", F.expr(codes).alias("codes"))
+    each = f"transform(codes, c -> struct(cast(c div {most + 1} as int) as at, xxhash64(slice(h, cast(c div {most + 1} as int) + 1, cast(c % {most + 1} as int))) as key))"
+    return near.select("did", "th", F.explode(F.expr(each)).alias("run")).select("did", "th", "run.at", "run.key")
+
+
+def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, long_: int = LONG, short: int = SHORT, all_runs: bool = False) -> DataFrame:
     """(did, th, runs): of each text with something to delete the runs (places of the first and last line)."""
     arrays = _arrays(docs, id_col, text_col)
     prints = common.materialize(_prints(arrays, window, long_), "prints")
-    first = prints.groupBy("h").agg(F.min(F.struct("did", "th", "at", "before", "after")).alias("first"), F.count("*").alias("k")).filter("k > 1").select("h", "first")
+    first = prints.groupBy("h").agg(F.min(F.struct("did", "th", "at", "before", "after")).alias("first"), F.count("*").alias("k")).filter("k > 1").select("h", "first", "k")
     again = prints.join(first, "h").filter("NOT (did = first.did AND th = first.th AND at = first.at)")
     # A line that is alone in a match is a run only if it is long itself.
     more = again.filter(f"words >= {long_} OR before = first.before OR after = first.after")
-    pairs = more.select("did", "th", F.col("first.did").alias("adid"), F.col("first.th").alias("ath"), F.expr("at - first.at as away")).distinct()
+    pairs = more.select("did", "th", F.col("first.did").alias("adid"), F.col("first.th").alias("ath"), F.expr("at - first.at as away"))
+    if all_runs:
+        often = prints.join(first.filter("k > 2").select("h"), "h").select("did", "th", "at")
+        shortest = common.materialize(_shortest(arrays, often, window, long_, short), "shortest")
+        begun = shortest.groupBy("key").agg(F.min(F.struct("did", "th", "at")).alias("first"), F.count("*").alias("k")).filter("k > 1").select("key", "first")
+        rest = shortest.join(begun, "key").filter("NOT (did = first.did AND th = first.th AND at = first.at)")
+        pairs = pairs.unionByName(rest.select("did", "th", F.col("first.did").alias("adid"), F.col("first.th").alias("ath"), F.expr("at - first.at as away")))
+    pairs = pairs.distinct()
     early = arrays.select(F.col("did").alias("adid"), F.col("th").alias("ath"), F.col("h").alias("ah"))
     both = pairs.join(early, ["adid", "ath"]).join(arrays, ["did", "th"])
     both = both.select("did", "th", "w", "idx", "h", "ah", "away", F.expr("greatest(0, away) as lo"), F.expr("least(size(h), size(ah) + away) as hi"))
@@ -85,5 +112,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"), all_runs=True)
     return rows.select("doc_id", "n_lines", "n_removed", F.length(F.coalesce("cleaned", F.lit(""))).cast("long").alias("n_chars"), F.sha2(F.coalesce("cleaned", F.lit("")).cast("binary"), 256).alias("text_sha256"))

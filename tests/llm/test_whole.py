@@ -7,7 +7,7 @@ import pytest
 
 pytest.importorskip("chronotile.llm")
 
-from chronotile.llm import near  # noqa: E402
+from chronotile.llm import lines, near  # noqa: E402
 
 
 def said(shingles, name):
@@ -68,3 +68,46 @@ def test_prefix_pairs_leave_no_link(spark):
     got = {(x["a"], x["b"]) for x in near.prefix_pairs(df, labels, 0.8).collect()}
     links = {(a, b) for a in range(60) for b in range(a + 1, 60) if a // 2 != b // 2 and len(set(sets[a]) & set(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) - 1e-9}
     assert len(links) > 20 and links <= got and all(a // 2 != b // 2 for a, b in got)
+
+
+def repeated(texts):
+    """The places of lines that lie in a run which an earlier place repeats, of all runs that count."""
+    out, seen = [], set()
+    for text in texts:
+        ls, gone, own = text.split("\n"), set(), []
+        for i in range(len(ls)):
+            for j in range(i, len(ls)):
+                n = sum(len(x.split()) for x in ls[i : j + 1])
+                if n >= lines.LONG or (j - i + 1 >= lines.WINDOW and n >= lines.SHORT):
+                    own.append((i, j, tuple(ls[i : j + 1])))
+        for i, j, run in own:
+            if run in seen:
+                gone |= set(range(i, j + 1))
+            seen.add(run)
+        out.append(gone)
+    return out
+
+
+def test_lines_frequent_in_other_context(spark):
+    """Passages whose lines all occur earlier, alone: against all runs that count."""
+    r = random.Random(5)
+    usual = [" ".join(r.choice("abcdefgh") * r.randint(1, 4) for _ in range(r.randint(1, 14))) for _ in range(14)]
+    texts = ["\n".join(f"only {k} {j}" if j % 2 else x for j, x in enumerate(y for u in r.sample(usual, 14) for y in (u, ""))) for k in range(4)]
+    passages = [r.sample(usual, r.randint(2, 7)) for _ in range(6)]
+    for k in range(40):
+        texts.append("\n".join([f"p {k}", *r.choice(passages), f"q {k}", *r.sample(usual, 2), *r.choice(passages)[r.randint(0, 2) :], f"r {k}"]))
+    true = repeated(texts)
+    assert sum(map(len, true)) > 100
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), all_runs=True).collect()
+    for row in got:
+        want = [x for k, x in enumerate(texts[row["doc_id"]].split("\n")) if k not in true[row["doc_id"]]]
+        assert row["cleaned"].split("\n") == want if want else row["cleaned"] == ""
+
+
+def test_lines_all_runs_of_corpus(spark):
+    from test_results import CORPUS
+
+    rows = sorted((i, t or "") for i, t in CORPUS)
+    true = {i: gone for (i, _), gone in zip(rows, repeated([t for _, t in rows]), strict=True)}
+    got = lines.dedup_lines(spark.createDataFrame(CORPUS, "doc_id long, text string").repartition(5), all_runs=True).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {i: len(gone) for i, gone in true.items()}
