@@ -111,3 +111,38 @@ def test_lines_all_runs_of_corpus(spark):
     true = {i: gone for (i, _), gone in zip(rows, repeated([t for _, t in rows]), strict=True)}
     got = lines.dedup_lines(spark.createDataFrame(CORPUS, "doc_id long, text string").repartition(5), all_runs=True).collect()
     assert {r["doc_id"]: r["n_removed"] for r in got} == {i: len(gone) for i, gone in true.items()}
+
+
+def test_near_excerpts(spark):
+    """Excerpts of half to three quarters of longer texts, each with a text that shares six or nine tenths of its words."""
+    r = random.Random(3)
+    rows, inside = [], {}
+    for k in range(60):
+        words = [f"t{k}w{j}" for j in range(r.choice((60, 300, 900)))]
+        rows.append((k, " ".join(words)))
+        n = int(len(words) * r.choice((0.5, 0.6, 0.75)))
+        at = r.randrange(len(words) - n)
+        rows.append((100 + k, " ".join(words[at : at + n])))
+        inside[100 + k] = k
+        other = words[at : at + n]
+        cut = int(len(other) * (0.9 if k % 2 else 0.6))
+        rows.append((200 + k, " ".join([*other[:cut], *(f"o{k}w{j}" for j in range(n - cut))])))
+    sets = {i: set(near.shingles(t.encode()).tolist()) for i, t in rows}
+    got = {x["doc_id"]: x for x in near.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for i, x in got.items():
+        if (b := x["within_id"]) is not None:
+            assert got[b]["class_id"] != x["class_id"] and len(sets[i] & sets[b]) >= 0.8 * len(sets[i])
+    assert all(got[i]["class_id"] != got[k]["class_id"] for i, k in inside.items())
+    assert sum(got[i]["within_id"] is not None for i in inside) >= 0.95 * len(inside)
+
+
+def test_near_bands_differ_by_partition():
+    k = near.partition(100)
+    found = near.searches(k)
+    assert found == {k: (37, 3), k + 1: (30, 2), k + 2: (47, 2), k + 3: (20, 1), k + 4: (25, 1)}
+    for m, (bands, rows) in found.items():
+        least = near.jaccard(near.sizes(k)[0], near.sizes(m)[1])
+        assert bands * rows <= near.HASHES and (1 - least**rows) ** bands <= near.MISS * 1.001
+    for n in range(1, 400):
+        low, high = near.sizes(near.partition(n))
+        assert low <= n <= high and near.partition(low) == near.partition(high) == near.partition(n)
