@@ -28,33 +28,36 @@ def terms(x: np.ndarray, df: int) -> np.ndarray:
     return np.column_stack(columns[: df - 1])
 
 
-def predict(coefs: np.ndarray, x: np.ndarray, df: int | None = None) -> np.ndarray:
-    """Bands x days. coefs: bands x 8; unused coefficients are 0, so df may stay out."""
-    scale = np.array([1 / SLOPE_SCALE, 1, 1, 1, 1, 1, 1])[: (df or 8) - 1]
-    return coefs[:, :1] + (coefs[:, 1 : (df or 8)] * scale) @ terms(x, df or 8).T
-
-
-def _settled(gram: np.ndarray, target: np.ndarray, b: np.ndarray, penalty: float):
-    """The exact optimum, if the signs of b are the optimum's; else None."""
-    on = b != 0
-    out = np.zeros_like(b)
-    if on.any():
-        signs = np.sign(b[on])
-        out[on] = np.linalg.solve(gram[np.ix_(on, on)], target[on] - penalty * signs)
-        if (np.sign(out[on]) != signs).any():
-            return None
-    if (np.abs(target - gram @ out)[~on] > penalty * (1 + 1e-9)).any():
-        return None
-    return out
-
-
-def lasso(x: np.ndarray, y: np.ndarray, df: int, penalty: float = LAMBDA, rounds: int = 400, guess: np.ndarray | None = None):
+_SCALE = np.array([1 / SLOPE_SCALE, 1, 1, 1, 1, 1, 1])
+
+
+def predict(coefs: np.ndarray, x: np.ndarray, df: int | None = None, columns: np.ndarray | None = None) -> np.ndarray:
+    """Bands x days. coefs: bands x 8; unused coefficients are 0, so df may stay out. columns: the terms, where they are known."""
+    df = df or 8
+    return coefs[:, :1] + (coefs[:, 1:df] * _SCALE[: df - 1]) @ (terms(x, df) if columns is None else columns[:, : df - 1]).T
+
+
+def _settled(gram: np.ndarray, target: np.ndarray, b: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each band (rows of target and b) the solution for the signs of b, and whether it is the optimum. All systems
+    are solved in one call; a coefficient that is 0 has a row of the identity."""
+    signs = np.sign(b)
+    on = signs != 0
+    systems = np.where(on[:, :, None] & on[:, None, :], gram, 0.0)
+    at = np.arange(len(gram))
+    systems[:, at, at] += ~on
+    out = np.linalg.solve(systems, np.where(on, target - penalty * signs, 0.0)[:, :, None])[:, :, 0]
+    good = (np.sign(out) == signs).all(1) & (on | (np.abs(target - out @ gram) <= penalty * (1 + 1e-9))).all(1)
+    return out, good
+
+
+def lasso(x: np.ndarray, y: np.ndarray, df: int, penalty: float = LAMBDA, rounds: int = 400, guess: np.ndarray | None = None, columns: np.ndarray | None = None):
     """Coefficients (bands x 8), root mean square errors and residuals of bands y over days x. A few
     rounds of coordinate descent on standardised columns, all bands at once as they share them, find the
     signs; the optimum for these signs is then solved for, and proves them right or asks for more rounds.
-    guess: coefficients whose signs are tried first."""
+    guess: coefficients whose signs are tried first, and from which the descent starts. columns: the terms, where they are known."""
     n, p = len(x), df - 1
-    columns = terms(x, df)
+    if columns is None:
+        columns = terms(x, df)
     mean, level = columns.mean(0), y.mean(1)
     centred = columns - mean
     sd = np.sqrt((centred**2).mean(0))
@@ -67,32 +70,28 @@ def lasso(x: np.ndarray, y: np.ndarray, df: int, penalty: float = LAMBDA, rounds
 
     def settle(bands: list[int]) -> list[int]:
         """Solve for the signs in b; the bands for which they weren't the optimum's."""
-        full = [k for k in bands if b[k].all()]
         left = []
-        if full:
-            try:
-                best = np.linalg.solve(gram, (target[full] - penalty * np.sign(b[full])).T).T
-                good = (np.sign(best) == np.sign(b[full])).all(1)
-                b[[k for k, g in zip(full, good, strict=True) if g]] = best[good]
-                left = [k for k, g in zip(full, good, strict=True) if not g]
-            except np.linalg.LinAlgError:
-                left = full
-        for k in bands:
-            if not b[k].all() and k not in full:
+        try:
+            groups = [(bands, *_settled(gram, target[bands], b[bands], penalty))]
+        except np.linalg.LinAlgError:  # a singular system: one band at a time, so that it holds up no other
+            groups = []
+            for k in bands:
                 try:
-                    best = _settled(gram, target[k], b[k], penalty)
+                    groups.append(([k], *_settled(gram, target[[k]], b[[k]], penalty)))
                 except np.linalg.LinAlgError:
-                    best = None
-                if best is None:
                     left.append(k)
+        for ks, best, good in groups:
+            for k, x, ok in zip(ks, best, good.tolist(), strict=True):
+                if ok:
+                    b[k] = x
                 else:
-                    b[k] = best
+                    left.append(k)
         return left
 
     if guess is not None:
-        b[:] = guess[:, 1:df]
+        b[:] = guess[:, 1:df] * sd
+        b[:, 0] /= SLOPE_SCALE
         open_ = settle(open_)
-        b[open_] = 0.0
     spent, each = 0, 6
     while open_:
         for k in open_:

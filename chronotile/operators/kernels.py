@@ -13,19 +13,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronotile.functions import columns as C
 from chronotile.operators import cold
-from chronotile.schema import BANDS, SEGMENTS
+from chronotile.schema import BANDS, CLEAR, SEGMENTS, SNOW, WATER, validate
 
 _STATUS = f"{SEGMENTS}, status string"
 
 
-def packed(obs: DataFrame) -> DataFrame:
-    """A row for each pixel: its series as arrays in the order of days. One shuffle, by pos, whose number of
-    partitions is set: a detector's work is in its CPU time, not in the bytes by which partitions would be joined."""
+def packed(obs: DataFrame, collection2: bool = False) -> DataFrame:
+    """A row for each pixel: the series of its clear and snow observations in range, as arrays in the order of days; what no
+    detector looks at moves as a null. One shuffle, by pos, whose number of
+    partitions is set: a detector's work is in its CPU time, not in the bytes by which partitions would be joined.
+    A pixel without any such observation has empty arrays."""
     fields = ["date", "seq", *BANDS, "qa"]
     spark = obs.sparkSession
     parts = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = obs.filter("qa < 255").repartition(parts, "pos").groupBy("pos").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("s"))
+    of_use = C.valid_range(collection2) & F.col("qa").isin(CLEAR, WATER, SNOW)
+    rows = obs.select("pos", F.when(of_use, F.struct(*fields)).alias("o"))  # the others move as a null, so that their pixel has a row
+    rows = rows.repartition(parts, "pos").groupBy("pos").agg(F.sort_array(F.collect_list("o")).alias("s"))
     return rows.select("pos", *[F.col("s")[c].alias(c) for c in fields if c != "seq"])
 
 
@@ -63,13 +68,15 @@ def _rows(of_pixel):
 
 def detect(obs: DataFrame, t_cg: float = 15.0863, conse: int = 6, b_c2: bool = False, gap_days: float = 365.25) -> DataFrame:
     """Segments (with a status) of every pixel of obs."""
-    return packed(obs).mapInArrow(_rows(lambda days, bands, qa, *_: cold.detect(days, bands, qa, t_cg, conse, b_c2, gap_days)), _STATUS)
+    validate(t_cg=t_cg, conse=conse, b_c2=b_c2, gap_days=gap_days)
+    return packed(obs, b_c2).mapInArrow(_rows(lambda days, bands, qa, *_: cold.detect(days, bands, qa, t_cg, conse, b_c2, gap_days)), _STATUS)
 
 
 def reconstruct(obs: DataFrame, breaks: DataFrame, conse: int = 6, b_c2: bool = False) -> DataFrame:
     """Segments between the break days (pos, break_date) of each pixel."""
+    validate(conse=conse, b_c2=b_c2)
     days = breaks.groupBy("pos").agg(F.sort_array(F.collect_set("break_date")).alias("breaks"))
-    series = packed(obs).join(days, "pos", "left")
+    series = packed(obs, b_c2).join(days, "pos", "left")
 
     def of_pixel(d, bands, qa, batch, k):
         given = batch.column(batch.schema.get_field_index("breaks"))[k].as_py() or []
@@ -80,6 +87,7 @@ def reconstruct(obs: DataFrame, breaks: DataFrame, conse: int = 6, b_c2: bool =
 
 def magnitudes(obs: DataFrame, start: int, n_cm: int, interval: int = 60, t_cg: float = 15.0863, conse: int = 6) -> DataFrame:
     """(pos, cm_idx, cm, cm_date): the largest change magnitude of each interval; -9999 for none."""
+    validate(starting_date=start, n_cm=n_cm, t_cg=t_cg, conse=conse)
 
     def run(batches):
         for batch in batches:

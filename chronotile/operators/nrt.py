@@ -14,10 +14,10 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 
 from chronotile.functions import harmonic as H
-from chronotile.operators.cold import LAUNCH, first_of_day, usable
+from chronotile.operators.cold import first_of_day, usable
 
 VOID, MONITOR, QUEUE, MONITOR_SNOW, QUEUE_SNOW, MONITOR_TO_QUEUE, UNCONFIRMED = 0, 1, 2, 3, 4, 5, 10
-BANDS, DETECT, KEPT = 6, slice(1, 6), 8
+BANDS, DETECT = 6, slice(1, 6)
 TRAIN, SNOW_SHARE, NOISE, ANGLE, MOST_QUEUED, BACK_DAYS = 18, 0.75, 25.7448, 45.0, 240, 15
 #: Counts told to the outside include the first observation that waits.
 AHEAD = 1
@@ -60,6 +60,13 @@ def predict(coefs: np.ndarray, days) -> np.ndarray:
     return H.predict(full, np.asarray(days))
 
 
+#: Of n days: the step, and the noise that they add up to. Longer gaps are made of these.
+_STEPS, _NOISES = [np.eye(6)], [np.zeros((6, 6))]
+for _ in range(400):
+    _STEPS.append(_STEP @ _STEPS[-1])
+    _NOISES.append(_STEP @ _NOISES[-1] @ _STEP.T + _NOISE)
+
+
 class Filter:
     """Kalman filters of all bands, side by side."""
 
@@ -68,9 +75,12 @@ class Filter:
         self.p = np.repeat(_START[None], len(coefs), 0) if covariance is None else covariance
 
     def advance(self, day: int) -> None:
-        for _ in range(int(day - self.day)):
-            self.state = self.state @ _STEP.T
-            self.p = _STEP @ self.p @ _STEP.T + _NOISE
+        left = int(day - self.day)
+        while left > 0:
+            n = min(left, len(_STEPS) - 1)
+            self.state = self.state @ _STEPS[n].T
+            self.p = _STEPS[n] @ self.p @ _STEPS[n].T + _NOISES[n]
+            left -= n
         self.day = day
 
     def absorb(self, day: int, y: np.ndarray) -> np.ndarray:
@@ -97,7 +107,7 @@ class Pack:
     min_rmse: list = field(default_factory=list)
     segments: list = field(default_factory=list)  # t_start, t_break, num_obs, coefs 6x6, rmse, magnitude
     model: dict | None = None  # t_start, num_obs, coefs, covariance, h, rmse_sum, day, norm_cm, cm_angle, conse_last
-    days: list = field(default_factory=list)  # not absorbed yet (with a model: the newest, at most conse - 1 .. KEPT)
+    days: list = field(default_factory=list)  # not absorbed yet (with a model: the newest, at most conse - 1)
     values: list = field(default_factory=list)
     late: int = 0  # observations not later than one seen before, which were left out
 
@@ -302,13 +312,14 @@ class _Run:
         pack.nrt_mode = MONITOR if confirmed else UNCONFIRMED + MONITOR
 
 
-def identify(pack: Pack, dist_conse: int = 6, t_cg_scale100: float = 1508.6, t_angle_scale100: float = 4500, transform_mode: bool = True) -> tuple[Pack, int]:
+def identify(pack: Pack, dist_conse: int = 6, t_cg_scale100: float = 1508.6, t_angle_scale100: float = 4500, transform_mode: bool = True, t_cg_singleband_scale1000: float = 200) -> tuple[Pack, int]:
     """The day on which a disturbance under way began, or 0; a disturbed pixel becomes unconfirmed again."""
     m = pack.model
     if pack.nrt_mode != MONITOR or m is None or m["conse_last"] < dist_conse or m["norm_cm"] * 100 <= t_cg_scale100 or m["cm_angle"] * 100 >= t_angle_scale100:
         return pack, 0
     blue, green, red, nir, swir1, swir2 = change_magnitude(pack)
-    if red < 200 and nir > -200 and swir1 < 200:  # greening
+    bound = t_cg_singleband_scale1000
+    if red < bound and nir > -bound and swir1 < bound:  # greening
         return pack, 0
     out = Pack.loads(pack.dumps())
     if transform_mode:
@@ -323,7 +334,3 @@ def change_magnitude(pack: Pack) -> list[float]:
         return [0.0] * BANDS
     seen = np.array(pack.values[-n:]).T - predict(np.array(pack.model["coefs"]), pack.days[-n:])
     return np.median(seen, axis=1).tolist()
-
-
-def since_launch(day: int) -> int:
-    return day - LAUNCH

@@ -19,7 +19,8 @@ def change_maps(changed: DataFrame, magnitudes: DataFrame) -> DataFrame:
 def object_based(obs: DataFrame, grid: Grid, start: int, n_cm: int, interval: int = 60, method: str = "floodfill", classes: DataFrame | None = None) -> DataFrame:
     """Segments between break days that objects of changed pixels confirm. classes: (pos, year, cls); an interval uses
     the year before its own, at the earliest the first."""
-    found = cm.fill_previous(kernels.magnitudes(obs, start, n_cm, interval)).filter(F.col("cm") != NO_DATA).persist()  # read three times
+    least = 924 if method == "floodfill" else None  # a flood takes a magnitude of before only above its seeds' bound, 9.236
+    found = cm.fill_previous(kernels.magnitudes(obs, start, n_cm, interval), least).filter(F.col("cm") != NO_DATA).persist()  # read three times
     labels = raster.segment(found, grid, method).filter("cm_idx > 0")  # nothing stands before the first interval
     size = F.count("*")
     patches = labels.filter("s2 > 0").groupBy("cm_idx", "s2").agg(size.alias("size"))
@@ -39,11 +40,12 @@ def yearly_features(found: DataFrame, pixels: DataFrame, years: list[int], bands
     """(pos, year, f): features at 1 July of each year, band after band."""
     spark = found.sparkSession
     days = spark.createDataFrame([(y,) for y in years], "year int").select("year", C.ordinal(F.make_date("year", F.lit(7), F.lit(1))).alias("day"))
-    out = pixels.select("pos").crossJoin(F.broadcast(days))
-    for b in range(bands):
-        one = segments.features(found, pixels, days.select("day"), b).select("pos", "day", F.array(*[F.col(n) for n in names]).alias(f"f{b}"))
-        out = out.join(one, ["pos", "day"])
-    return out.select("pos", "year", F.concat(*[F.col(f"f{b}") for b in range(bands)]).alias("f"))
+    held = segments.at_day(found, days.select("day"))
+    c = F.col("coefs")
+    terms = {"a0": lambda b: c[b][0] + c[b][1] * F.col("day") / 10000.0, "c1": lambda b: c[b][1] / 10000.0} | {n: (lambda b, k=k: c[b][k].cast("double")) for k, n in enumerate(("a1", "b1", "a2", "b2", "a3", "b3"), 2)} | {"error": lambda b: F.col("rmse")[b].cast("double")}
+    each = [F.coalesce(F.nanvl(terms[n](b).cast("double"), F.lit(0.0)), F.lit(float(NO_DATA))) for b in range(bands) for n in names]
+    every = pixels.select("pos").crossJoin(F.broadcast(days))  # a day a year; all bands come of one segment, and so of one join
+    return every.join(held, ["pos", "day"], "left").select("pos", "year", F.array(*each).alias("f"))
 
 
 def classify_years(found: DataFrame, labels: DataFrame, years: list[int], train_year: int, trees: int = 100, depth: int = 20) -> DataFrame:

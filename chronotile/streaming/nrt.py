@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronotile.operators import kernels, nrt
-from chronotile.schema import BANDS
+from chronotile.schema import BANDS, validate
 
 PACK = "pos long, nrt_mode smallint, n_segments int, last_break int, num_obs int, conse_last int, late int, pack string"
 
@@ -29,19 +29,27 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
+def _checked(parameters: dict) -> bool:
+    """Raise ValueError for a parameter out of its range; whether bands are scaled as Collection 2."""
+    names = {"gate": "gate_tcg", "predictability": "predictability_tcg", "collection2": "b_c2"}
+    validate(**{names.get(k, k): v for k, v in parameters.items()})
+    return parameters.get("collection2", False)
+
+
 def detect(obs: DataFrame, **parameters) -> DataFrame:
     """The pack of every pixel of obs."""
+    collection2 = _checked(parameters)
 
     def run(batches):
         for batch in batches:
             yield _batch([_row(pos, nrt.detect(days, bands, qa, **parameters)) for pos, days, bands, qa, _ in kernels._series(batch)])
 
-    return kernels.packed(obs).mapInArrow(run, PACK)
+    return kernels.packed(obs, collection2).mapInArrow(run, PACK)
 
 
 def update(packs: DataFrame, obs: DataFrame, **parameters) -> DataFrame:
     """Packs with new observations taken in; pixels without either keep or get theirs."""
-    both = packs.select("pos", "pack").join(kernels.packed(obs), "pos", "full")
+    both = packs.select("pos", "pack").join(kernels.packed(obs, _checked(parameters)), "pos", "full")
 
     def run(batches):
         for batch in batches:
@@ -61,6 +69,7 @@ def update(packs: DataFrame, obs: DataFrame, **parameters) -> DataFrame:
 
 def identify(packs: DataFrame, **parameters) -> DataFrame:
     """(pos, disturbed_on): the first day of a disturbance under way, 0 for none."""
+    validate(**parameters)
 
     def run(batches):
         for batch in batches:
@@ -82,6 +91,7 @@ def _take_in(key, frames, state, parameters):
 def stream(obs: DataFrame, **parameters) -> DataFrame:
     """As a streaming query: of each pixel with new observations the pack after each batch. Observations
     that are not later than a pixel's last one are counted and left out."""
+    _checked(parameters)
 
     def take_in(key, frames, state):
         yield from _take_in(key, frames, state, parameters)
