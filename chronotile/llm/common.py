@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a temporary folder of this session."""
+    """The folder in spark.checkpoint.dir; where it is unset and all runs in this process (tests), a temporary folder of this session."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='chronotile-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -88,7 +91,7 @@ def map_texts(df: DataFrame, work: Callable[[list[bytes]], dict[str, pa.Array |
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(out)
-        for batch in pieces(batches):
+        for batch in pieces(batches, 4 << 20):
             made = work(texts(batch, text_col))
             if keep == "kept":
                 yield batch.filter(pa.array(made["kept"], pa.bool_()))
@@ -112,6 +115,11 @@ def enter(name: str, clear: Callable[[], None]) -> None:
         for other, drop in _caches.items():
             if other != name:
                 drop()
+        # What was dropped goes back to the system, not only to this process.
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+            trim(0)
 
 
 def bucket(column: str, mod: int):

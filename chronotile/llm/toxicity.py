@@ -1,21 +1,22 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models of how words are spelled, one learned from toxic and one from ordinary texts, predict
-each character of a word from those before it (up to ORDER - 1, with the word's begin and end).
+each byte of a word from those before it (up to ORDER - 1, with the word's begin and end).
 The highest order is a class's own; below it stand continuation counts that both classes share,
 so that rare expressions are smoothed alike by both and tell little unless a class has
-shown them. A word's difference of log-likelihoods is a sum over its characters; a
-text's is that of its words, divided by their number. Beside this mean over the text, the
+shown them; what was seen once counts as all else. A word's difference of log-likelihoods is a sum over its
+bytes; a text's is that of its words, divided by their number. Beside this mean over the text, the
 highest mean over a window of words, the means of its three and six most telling words and the
-log of its length enter a logistic function. It is fitted on all labelled texts of the sample, each
-measured by models of the folds that it isn't in.
+log of its length enter a logistic function, as a few toxic words tell little in the mean of a long text. It is fitted on
+all labelled texts of the sample, each measured by models of the folds that it isn't in, and each class weighted by its share
+of all labels.
 
 Learning takes at most PER_CLASS labelled texts of each class (those of the smallest hash of the id):
 a bounded sample, whatever the size of the corpus. Rows whose crc32(id as text) modulo 5
 is 0 are never learned from. A null or empty text scores as the share of toxic texts in
 the sample suggests; where nothing can be learned (no labels of either class) every
 score is 0. Of several labels of one id a toxic one counts; null labels and ids don't.
-Rows that repeat are scored each on its own; an input column named like a result gives way.
+A very long text counts as a whole. Rows that repeat are scored each on its own; an empty table gives no rows; an input column named like a result gives way.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ FEATURES = ["mean", "window", "top3", "top6", "length"]
 #: Labelled texts of each class that the models learn from, at most.
 PER_CLASS = 4000
 WINDOW = 32
-#: Words and grams whose difference a worker keeps.
+#: Words whose difference a worker keeps.
 MAX_KEPT = 300_000
+#: No byte of UTF-8 text.
+_BEGIN, _END = b"\xfe", b"\xff"
 _STRIP = b".,;:!?\"'()[]{}#*$%&|<>-_=+/\\"
 
 SCHEMA = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
@@ -48,71 +51,95 @@ def words_of(text: bytes) -> list[bytes]:
     return [w.strip(_STRIP) for w in text.lower().split()]
 
 
-def grams(word: bytes, order: int = ORDER) -> list[str]:
-    """Of each character of a word and its end: the characters before it (order - 1 at most) and it. ^ begins, $ ends."""
-    s = f"^{word.decode('utf-8', 'replace')}$"
-    return [s[max(0, i + 1 - order) : i + 1] for i in range(1, len(s))]
+def grams(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Of each byte of each word and its end: the bytes before it (order - 1 at most, with the word's begin) and it, as one
+    number; and where each word's begin. A gram's last byte is its lowest; zeros stand above shorter ones."""
+    raw = np.frombuffer(b"".join([_BEGIN + w.replace(b"\0", b"\1") + _END for w in words]), np.uint8).astype(np.int64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    since = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
+    out = raw.copy()
+    for k in range(1, order):
+        out[k:] += np.where(since[k:] >= k, raw[:-k] << (8 * k), 0)
+    return out[since > 0], np.concatenate([[0], np.cumsum(size - 1)])
 
 
-class Model:
-    """Two class models over shared lower orders, from (gram, ordinary count, toxic count)."""
+def _width(gram: np.ndarray) -> np.ndarray:
+    """The number of bytes of each gram."""
+    return np.sum([gram >= 1 << (8 * k) for k in range(ORDER)], axis=0)
 
-    def __init__(self, counts: list[tuple[str, int, int]]) -> None:
-        self.top = [{g: n for g, *each in counts if (n := each[c])} for c in (0, 1)]
-        self.sums = [Counter(), Counter()]  # of a history: all that followed it, and how many different
-        self.kinds = [Counter(), Counter()]
-        for c in (0, 1):
-            for g, n in self.top[c].items():
-                self.sums[c][g[:-1]] += n
-                self.kinds[c][g[:-1]] += 1
-        # Shared: how many different characters stand before a gram, from the highest order down.
-        self.low: dict[str, int] = {}
-        level = {g for g, _, _ in counts}
-        while level:
-            level = {g for g in level if len(g) > 1}
-            for g in level:
-                self.low[g[1:]] = self.low.get(g[1:], 0) + 1
-            level = {g[1:] for g in level}
-        self.low_sums, self.low_kinds = Counter(), Counter()
-        for g, n in self.low.items():
-            self.low_sums[g[:-1]] += n
-            self.low_kinds[g[:-1]] += 1
-        self.alphabet = max(1, len({g[-1] for g, _, _ in counts})) + 1
-        self.memo: dict[str, float] = {}
-        self.ratios: dict[str, float] = {}
-
-    def shared(self, gram: str) -> float:
-        """The probability of a gram's last character by continuation counts alone."""
-        if gram in self.memo:
-            return self.memo[gram]
-        lower = self.shared(gram[1:]) if len(gram) > 1 else 1 / self.alphabet
-        total = self.low_sums.get(gram[:-1], 0)
-        p = lower if not total else max(self.low.get(gram, 0) - DISCOUNT, 0) / total + DISCOUNT * self.low_kinds[gram[:-1]] / total * lower
-        if len(self.memo) < MAX_KEPT:
-            self.memo[gram] = p
+
+class Table:
+    """Figures by key, in sorted arrays; 0 for other keys."""
+
+    def __init__(self, keys: np.ndarray, *figures: np.ndarray) -> None:
+        """Figures of equal keys are added up; beside them `kinds`, the rows of each key."""
+        self.keys, first, self.kinds = np.unique(keys, return_index=True, return_counts=True)
+        order = np.argsort(keys, kind="stable")
+        at = np.concatenate([[0], np.cumsum(self.kinds)[:-1]]) if len(self.keys) else first
+        self.figures = [np.add.reduceat(f[order], at) if len(f) else f for f in figures]
+
+    def at(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys; the number of keys where there is none."""
+        place = np.searchsorted(self.keys, keys)
+        there = place < len(self.keys)
+        there[there] = self.keys[place[there]] == keys[there]
+        return np.where(there, place, len(self.keys))
+
+    @staticmethod
+    def take(figures: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return np.append(figures, 0)[place]
+
+
+class Model:
+    """Two class models over shared lower orders, from grams and their ordinary and toxic counts."""
+
+    def __init__(self, gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> None:
+        self.top = Table(gram, ordinary, toxic)
+        self.after = [Table(gram[n > 0] >> 8, n[n > 0]) for n in (ordinary, toxic)]  # by history: all that followed it, how many different
+        # Shared: how many different bytes stand before a gram, from the highest order down.
+        shorter, low = np.empty(0, np.int64), []
+        for k in range(ORDER, 1, -1):
+            level = np.unique(np.concatenate([gram[_width(gram) == k], shorter]))
+            shorter = level & ((1 << (8 * (k - 1))) - 1)
+            low.append(shorter)
+        low = np.concatenate(low)
+        self.low = Table(low, np.ones(len(low), np.int64))
+        self.below = Table(self.low.keys >> 8, self.low.figures[0])
+        self.alphabet = max(1, len(np.unique(gram & 255))) + 1
+
+    def shared(self, gram: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """The probability of each gram's last byte after the others, by continuation counts alone of `width` bytes at most."""
+        p = np.full(len(gram), 1 / self.alphabet)
+        for k in range(1, ORDER):
+            g = gram & ((1 << (8 * k)) - 1)
+            place = self.below.at(g >> 8)
+            total = Table.take(self.below.figures[0], place)
+            use = (k <= width) & (total > 0)
+            seen = Table.take(self.low.figures[0], self.low.at(g))
+            n = np.where(use, total, 1)
+            p = np.where(use, np.maximum(seen - DISCOUNT, 0) / n + DISCOUNT * Table.take(self.below.kinds, place) / n * p, p)
         return p
 
-    def ratio(self, g: str) -> float:
-        """log P(last character | toxic) - log P(it | ordinary), after the others of the gram."""
-        h = g[:-1]
-        a, b = self.sums[0].get(h, 0), self.sums[1].get(h, 0)
-        if not a and not b:
-            return 0.0  # both back off to the same
-        lower = self.shared(g[1:]) if len(g) > 1 else 1 / self.alphabet
-        p = (max(self.top[0].get(g, 0) - DISCOUNT, 0) + DISCOUNT * self.kinds[0][h] * lower) / a if a else lower
-        q = (max(self.top[1].get(g, 0) - DISCOUNT, 0) + DISCOUNT * self.kinds[1][h] * lower) / b if b else lower
-        return log(q / p)
-
-    def difference(self, word: bytes) -> float:
+    def ratios(self, gram: np.ndarray) -> np.ndarray:
+        """log P(last byte | toxic) - log P(it | ordinary), after the others of each gram."""
+        lower = self.shared(gram, _width(gram) - 1)
+        top = self.top.at(gram)
+        logs = []
+        for c in (0, 1):
+            place = self.after[c].at(gram >> 8)
+            total = Table.take(self.after[c].figures[0], place)
+            n = np.where(total > 0, total, 1)
+            p = (np.maximum(Table.take(self.top.figures[c], top) - DISCOUNT, 0) + DISCOUNT * Table.take(self.after[c].kinds, place) * lower) / n
+            logs.append(np.log(np.where(total > 0, p, lower)))  # both back off to the same
+        return logs[1] - logs[0]
+
+    def differences(self, words: list[bytes]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary)."""
-        ratios, out = self.ratios, 0.0
-        for g in grams(word):
-            if (r := ratios.get(g)) is None:
-                r = self.ratio(g)
-                if len(ratios) < MAX_KEPT:
-                    ratios[g] = r
-            out += r
-        return out
+        if not words:
+            return np.empty(0)
+        gram, at = grams(words)
+        each, inverse = np.unique(gram, return_inverse=True)
+        return np.add.reduceat(self.ratios(each)[inverse], at[:-1])
 
 
 class Scorer:
@@ -120,93 +147,115 @@ class Scorer:
         self.model, self.weights = model, weights
         self.known: dict[bytes, float] = {}
 
-    def features(self, text: bytes) -> tuple[float, ...]:
-        """FEATURES: the mean difference of a text's words, the highest mean over WINDOW words, the means of the
+    def features(self, texts: list[bytes]) -> list[tuple[float, ...]]:
+        """Of each text FEATURES: the mean difference of its words, the highest mean over WINDOW words, the means of the
         three and six highest of its different words, and the log of their number."""
-        words = words_of(text)
-        if not words:
-            return (0.0,) * len(FEATURES)
-        known = self.known
+        known, out = self.known, []
         if len(known) > MAX_KEPT:
             known.clear()
-        different = set(words)
-        for w in different:
-            if w not in known:
-                known[w] = self.model.difference(w)
-        d = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-        total = np.concatenate([[0.0], np.cumsum(d)])
-        w = min(WINDOW, len(d))
-        most = float((total[w:] - total[:-w]).max()) / WINDOW
-        top = nlargest(6, map(known.__getitem__, different))
-        return float(d.mean()), most, sum(max(x, 0.0) for x in top[:3]) / 3, sum(max(x, 0.0) for x in top) / 6, log(len(d))
-
-    def score(self, text: bytes) -> float:
-        z = self.weights[0] + float(np.dot(self.weights[1:], self.features(text)))
-        return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> list[float]:
-    """Weights (intercept first) by Newton's method, with a ridge on all but the intercept."""
+        split = [words_of(t) for t in texts]
+        new = list({w for words in split for w in words if w not in known})
+        for at in range(0, len(new), 20_000):
+            known.update(zip(new[at : at + 20_000], self.model.differences(new[at : at + 20_000]).tolist(), strict=True))
+        for words in split:
+            if not words:
+                out.append((0.0,) * len(FEATURES))
+                continue
+            d = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+            total = np.concatenate([[0.0], np.cumsum(d)])
+            w = min(WINDOW, len(d))
+            most = float((total[w:] - total[:-w]).max()) / WINDOW
+            top = nlargest(6, map(known.__getitem__, set(words)))
+            out.append((float(d.mean()), most, sum(max(x, 0.0) for x in top[:3]) / 3, sum(max(x, 0.0) for x in top) / 6, log(len(d))))
+        return out
+
+    def scores(self, texts: list[bytes]) -> list[float]:
+        z = self.weights[0] + np.array(self.features(texts)) @ np.array(self.weights[1:])
+        return (1 / (1 + np.exp(-np.clip(z, -50, 50)))).tolist()
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> list[float]:
+    """Coefficients (intercept first) of weighted rows by Newton's method, with a ridge on all but the intercept."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
     penalty = np.diag([0.0] + [ridge] * (x.shape[1] - 1)) * len(x) / 100
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = x.T @ (x * (p * (1 - p))[:, None]) + penalty + 1e-9 * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - penalty @ w)
+        h = x.T @ (x * (weight * p * (1 - p))[:, None]) + penalty + 1e-9 * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w.tolist()
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(text, toxic, fold) of the labelled texts to learn from."""
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[float]]:
+    """(text, toxic, fold) of the labelled texts to learn from, and for each class how many labels one drawn stands for."""
     labels = labels.select(F.col("doc_id").alias("__id"), "toxic").filter("toxic in (0, 1) and __id is not null").filter(common.bucket("__id", 5) != 0)
-    labels = labels.groupBy("__id").agg(F.max("toxic").alias("toxic"))
-    each = [labels.filter(F.col("toxic") == c).orderBy(F.xxhash64("__id"), "__id").limit(PER_CLASS) for c in (0, 1)]
-    ids = docs.sparkSession.createDataFrame([tuple(r) for x in each for r in x.collect()], labels.schema)  # 2 * PER_CLASS rows at most
+    labels = common.materialize(labels.groupBy("__id").agg(F.max("toxic").alias("toxic")), "labels")
+    drawn = [labels.filter(F.col("toxic") == c).orderBy(F.xxhash64("__id"), "__id").limit(PER_CLASS).collect() for c in (0, 1)]
+    all_ = dict(labels.groupBy("toxic").count().collect())
+    ids = docs.sparkSession.createDataFrame([tuple(r) for x in drawn for r in x], labels.schema)  # 2 * PER_CLASS rows at most
+    common.release(labels)
     fold = F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(FOLDS)).cast("int")
-    return docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(ids), "__id").select("text", "toxic", fold.alias("fold"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(ids), "__id").select("text", "toxic", fold.alias("fold"))
+    return rows, [all_.get(c, 0) / max(1, len(drawn[c])) for c in (0, 1)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Scorer | None:
-    sample = common.materialize(_sample(docs, labels, id_col, text_col).repartition(16, F.xxhash64("text")), "labelled")
+    sample, stands_for = _sample(docs, labels, id_col, text_col)
+    sample = common.materialize(sample.repartition(16, F.xxhash64("text")), "labelled")
 
     def count(batches):
-        seen = [(Counter(), Counter()) for _ in range(FOLDS)]
         for batch in common.pieces(batches):
+            seen: Counter = Counter()
             for text, toxic, fold in zip(common.texts(batch), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                for w in set(words_of(text)):  # a word counts once a text, however often it is repeated there
-                    seen[fold][toxic].update(grams(w))
-        for fold, (a, b) in enumerate(seen):
-            keys = list(a | b)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([fold] * len(keys), pa.int32()), pa.array([a[k] for k in keys], pa.int64()), pa.array([b[k] for k in keys], pa.int64())], names=["gram", "fold", "a", "b"])
-
-    by_fold = [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for c in "ab" for k in range(FOLDS)]
-    rows = sample.mapInArrow(count, "gram string, fold int, a long, b long").groupBy("gram").agg(*by_fold, F.sum("a").alias("a"), F.sum("b").alias("b")).filter("a + b > 1").drop("a", "b").collect()
-    folds = sorted((r[0], r[1 : FOLDS + 1], r[FOLDS + 1 :]) for r in rows)  # bounded by the sample
-    counts = [(g, sum(a), sum(b)) for g, a, b in folds]
-    if not any(a for _, a, _ in counts) or not any(b for _, _, b in counts):
+                seen.update((w, 2 * fold + toxic) for w in set(words_of(text)))  # a word counts once a text, however often it is repeated there
+            words = list({w for w, _ in seen})
+            gram, at = grams(words)
+            keys, inverse = np.unique(gram, return_inverse=True)
+            row = {w: k for k, w in enumerate(words)}
+            counts = np.zeros((len(words), 2 * FOLDS), np.int64)
+            for (w, k), n in seen.items():
+                counts[row[w], k] = n
+            sums = np.zeros((len(keys), 2 * FOLDS), np.int64)
+            np.add.at(sums, inverse, np.repeat(counts, np.diff(at), axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c) for c in sums.T)], names=["gram", *(f"c{k}" for k in range(2 * FOLDS))])
+
+    columns = [f"c{k}" for k in range(2 * FOLDS)]
+    rows = sample.mapInArrow(count, "gram long, " + ", ".join(f"{c} long" for c in columns)).groupBy("gram").agg(*[F.sum(c).cast("int").alias(c) for c in columns]).toArrow()  # bounded by the sample
+    gram = rows.column("gram").to_numpy()
+    order = np.argsort(gram)
+    gram, counts = gram[order], np.column_stack([rows.column(c).to_numpy() for c in columns])[order].reshape(-1, FOLDS, 2)
+    if not (counts.sum((0, 1)) > 0).all():
         return None
-    sent = docs.sparkSession.sparkContext.broadcast(folds)
-    measured = []
-    for k in range(FOLDS):
-
-        def measure(batches, k=k):
-            own = Scorer(Model([(g, x, y) for g, a, b in sent.value if (x := sum(a) - a[k]) + (y := sum(b) - b[k]) > 1]), [])
-            for batch in common.pieces(batches):
-                rows = [own.features(t) for t in common.texts(batch)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.float64()) for c in zip(*rows, strict=True)), batch.column(1)], names=[*FEATURES, "toxic"])
-
-        part = sample.filter(F.col("fold") == k).select("text", "toxic").coalesce(2)
-        measured += part.mapInArrow(measure, ", ".join(f"{n} double" for n in FEATURES) + ", toxic int").collect()
+    sent = docs.sparkSession.sparkContext.broadcast((gram, counts))
+
+    def measure(batches):
+        common.enter("toxicity", _held.clear)
+        own: tuple = (-1, None)
+        for batch in common.pieces(batches):
+            folds = batch.column(2).to_numpy()
+            for k in np.unique(folds).tolist():
+                if k != own[0]:
+                    gram, counts = sent.value
+                    kept = counts.sum(1) - counts[:, k]
+                    some = kept.sum(1) > 0
+                    own = (k, Scorer(Model(gram[some], kept[some, 0], kept[some, 1]), []))
+                mine = batch.filter(pa.array(folds == k))
+                made = own[1].features(common.texts(mine))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.float64()) for c in zip(*made, strict=True)), mine.column(1)], names=[*FEATURES, "toxic"])
+
+    measured = sample.repartition(FOLDS, "fold").sortWithinPartitions("fold").select("text", "toxic", "fold").mapInArrow(measure, ", ".join(f"{n} double" for n in FEATURES) + ", toxic int").collect()
     common.release(sample)
-    fitted = np.array([tuple(r) for r in measured], float)
+    fitted = np.array(sorted(tuple(r) for r in measured), float)
     if not len(fitted) or len(set(fitted[:, -1])) < 2:
         return None
-    scorer = Scorer(Model(counts), logistic(fitted[:, :-1], fitted[:, -1]))
-    scorer.counts = counts
+    y = fitted[:, -1]
+    weight = np.where(y > 0, stands_for[1], stands_for[0])
+    total = counts.sum(1)
+    scorer = Scorer(Model(gram, total[:, 0], total[:, 1]), logistic(fitted[:, :-1], y, weight / weight.mean()))
+    scorer.counts = (gram, total[:, 0].astype(np.int32), total[:, 1].astype(np.int32))
     return scorer
 
 
@@ -216,7 +265,7 @@ def _scoring(docs: DataFrame, scorer: Scorer | None):
     sent = docs.sparkSession.sparkContext.broadcast((scorer.counts, scorer.weights))
 
     def work(batch: list[bytes]) -> dict:
-        return {"score": [_scorer(sent).score(t) for t in batch]}
+        return {"score": _scorer(sent).scores(batch)}
 
     return work
 
@@ -228,7 +277,7 @@ def _scorer(sent) -> Scorer:
     """The scorer of a broadcast, built once a worker."""
     common.enter("toxicity", _held.clear)
     if sent.value[1] != _held.get("weights"):
-        _held.update(weights=sent.value[1], scorer=Scorer(Model(sent.value[0]), sent.value[1]))
+        _held.update(weights=sent.value[1], scorer=Scorer(Model(*sent.value[0]), sent.value[1]))
     return _held["scorer"]
 
 
