@@ -7,8 +7,9 @@ are counted exactly, and their winners go to all executors, which settle the los
 lie. The rest, in which no group is large any more, is shuffled by digest.
 
 Of equal texts the row with the largest doc_id stays; a null id loses to any other. Of rows that
-repeat both text and id one stays. An empty table gives an empty result; other columns stay as
-they are in dedup(), and one named like a working column ("__digest") gives way.
+repeat both text and id one stays, of a heavy digest's too, as those are cut to one in each task before they meet. A
+very long text is as good as any: only digests move. An empty table gives an empty result; other columns stay as
+they are in dedup(), and one named like a working column ("__digest", "__row") gives way.
 """
 
 from __future__ import annotations
@@ -69,16 +70,20 @@ def digest(text_col: str = "text"):
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each of docs: the id, keep_id (of the row that stays), group_size, kept, text_sha256."""
-    ids = common.materialize(docs.select(F.col(id_col).alias("doc_id"), digest(text_col).alias("__digest")), "digests")
-    known = ids.join(F.broadcast(winners(ids, "doc_id")), "__digest", "left")
-    lost = F.col("__size").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("__keep"))
-    settled = known.filter(lost).select("doc_id", F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"), F.lit(False).alias("kept"), F.col("__digest").alias("text_sha256"))
+    ids = docs.select(F.col(id_col).alias("doc_id"), digest(text_col).alias("__digest"))
+    ids = common.materialize(ids.withColumn("__row", F.monotonically_increasing_id()), "digests")  # rows that repeat are told apart by __row
+    hot = winners(ids, "doc_id")
+    known = ids.join(F.broadcast(hot), "__digest", "left")
+    heavy = F.col("__size").isNotNull()
+    # Of a heavy group's rows with the winning id the first stays: one row for each heavy digest, found by a partial aggregation.
+    first = known.filter(heavy & F.col("doc_id").eqNullSafe(F.col("__keep"))).groupBy("__digest").agg(F.min("__row").alias("__first"))
+    settled = known.filter(heavy).join(F.broadcast(first), "__digest").select("doc_id", F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"), (F.col("__row") == F.col("__first")).alias("kept"), F.col("__digest").alias("text_sha256"))
     same = Window.partitionBy("__digest")
-    rest = known.filter(~lost).select(
+    rest = known.filter(~heavy).select(
         "doc_id",
         F.max("doc_id").over(same).alias("keep_id"),
-        F.coalesce("__size", F.count("*").over(same)).alias("group_size"),
-        (F.row_number().over(same.orderBy(F.col("doc_id").desc_nulls_last())) == 1).alias("kept"),
+        F.count("*").over(same).alias("group_size"),
+        (F.row_number().over(same.orderBy(F.col("doc_id").desc_nulls_last(), "__row")) == 1).alias("kept"),
         F.col("__digest").alias("text_sha256"),
     )
     return settled.unionByName(rest)
@@ -86,11 +91,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with their own columns."""
-    rows = common.without(docs, ["__digest", "__keep", "__size", "__nth"]).withColumn("__digest", digest(text_col))
+    rows = common.without(docs, ["__digest", "__keep", "__size", "__nth", "__all"]).withColumn("__digest", digest(text_col))
     ids = common.materialize(rows.select(F.col(id_col).alias("__id"), "__digest"), "digests")
-    known = rows.join(F.broadcast(winners(ids, "__id")), "__digest", "left").filter(F.col("__size").isNull() | F.col(id_col).eqNullSafe(F.col("__keep")))
+    known = rows.join(F.broadcast(winners(ids, "__id")), "__digest", "left")
+    heavy = F.col("__size").isNotNull()
+    own = [F.col(f"`{c}`") for c in docs.columns if c in rows.columns]
     nth = F.row_number().over(Window.partitionBy("__digest").orderBy(F.col(id_col).desc_nulls_last()))
-    return known.withColumn("__nth", nth).filter("__nth = 1").select([F.col(f"`{c}`") for c in docs.columns if c in rows.columns])
+    rest = known.filter(~heavy).withColumn("__nth", nth).filter("__nth = 1").select(own)
+    # A heavy group's rows with the winning id (one, unless rows repeat) are cut to one where they lie, before any meet.
+    settled = known.filter(heavy & F.col(id_col).eqNullSafe(F.col("__keep"))).groupBy("__digest").agg(F.first(F.struct(own)).alias("__all")).select("__all.*")
+    return rest.unionByName(settled)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

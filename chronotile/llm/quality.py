@@ -6,7 +6,8 @@ rejects, needs no second look at the texts.
 
 Words are runs of other characters than ASCII white space. A null or empty text has no words,
 fails the rule on their number and is rejected by every policy that holds this rule. Rows that
-repeat are judged each on its own; an input column named like a column of the ledger gives way.
+repeat are judged each on its own; a very long text is measured as a whole; an empty table gives an empty ledger and
+ablations of zeros. An input column named like a column of the ledger gives way.
 """
 
 from __future__ import annotations
@@ -115,17 +116,16 @@ def ablations(rows: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the policy keeps, with their own columns."""
-    chosen = POLICIES[policy]
+    """The rows of docs that the policy keeps, with their own columns: those of the ledger stand beside them until it has judged
+    (under names of its own; an input column named like one, as "__fail_bits", gives way)."""
+    schema = T.StructType([T.StructField(f"__{n}", T.LongType(), False) for n in MEASURES])
 
     def work(batch: list[bytes]) -> dict:
-        out = []
-        for t in batch:
-            row = dict(zip(MEASURES, measure(t), strict=True))
-            out.append(not any(RULES[r](row.__getitem__) for r in chosen))
-        return {"kept": out}
+        return {f"__{n}": c for n, c in _work(batch).items()}
 
-    return common.map_texts(docs, work, SCHEMA, text_col, keep="kept")
+    base = common.without(docs, [*schema.fieldNames(), "__fail_bits"])
+    rows = common.map_texts(base, work, schema, text_col, keep="all").withColumn("__fail_bits", fail_bits(lambda n: F.col(f"__{n}")))
+    return rows.filter(F.col("__fail_bits").bitwiseAND(F.lit(mask(policy)).cast("long")) == 0).select([F.col(f"`{c}`") for c in base.columns])
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +133,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~kept("base")).alias("base_failed"), kept("v1").alias("kept"), "n_lines", "fail_bits")
 
 
+def op9_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 rejects, and alone rejects, from one ledger."""
+    return ablations(ledger(common.table(spark, sf_dir, "documents").select("text")))
+
+
 OP9_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
@@ -152,3 +157,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   bits & 3 <> 0 AS base_failed, bits = 0 AS kept, CAST(n_lines AS BIGINT) AS n_lines, CAST(bits AS BIGINT) AS fail_bits
 FROM b
 """
+
+OP9_ABLATIONS_SQL = f"WITH l AS ({OP9_SQL}) " + " UNION ALL ".join(
+    f"SELECT '{r}' AS rule, count(*) FILTER (fail_bits & {BIT[r]} <> 0) AS n_failed, count(*) FILTER (fail_bits = {BIT[r]}) AS n_alone FROM l" for r in POLICIES["v1"]
+)

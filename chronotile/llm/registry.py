@@ -18,13 +18,14 @@ def queries() -> dict:
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_license_scan": licenses.op8_license_scan,
         "op9_quality_rules": quality.op9_quality_rules,
+        "op9_rule_ablations": quality.op9_rule_ablations,
         "op10_toxicity": toxicity.op10_toxicity,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    found = {"op3_url_filter": urls.OP3_SQL, "op6_exact_dedup": exact.OP6_SQL, "op8_license_scan": licenses.OP8_SQL, "op9_quality_rules": quality.OP9_SQL}
+    found = {"op3_url_filter": urls.OP3_SQL, "op6_exact_dedup": exact.OP6_SQL, "op8_license_scan": licenses.OP8_SQL, "op9_quality_rules": quality.OP9_SQL, "op9_rule_ablations": quality.OP9_ABLATIONS_SQL}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found

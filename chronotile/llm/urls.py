@@ -2,16 +2,18 @@
 
 An entry (host, path) fits a url whose host is that host or a subdomain of it and whose path
 starts with the entry's. Of all entries that fit, the longest (host and path together) decides,
-whether it allows or blocks; a url that none fits gets the default verdict. Of entries given
-twice the last counts.
+whether it allows or blocks; of two that are equally long, the one with the longer host. A url that none fits gets the
+default verdict. Of entries given twice the last counts.
 
 Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there
 up to ``?``, ``#`` or the end. A null url, or one without ``://``, has an empty host and path and gets the
-default. Rows that repeat are judged each on its own; an input column named like a result gives way.
+default. A very long url counts as a whole. Rows that repeat are judged each on its own; an empty table gives no rows; an
+input column named like a result gives way.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,8 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: A trie is broadcast up to so many entries; more are joined by key.
 MAX_TRIE = 200_000
 
+#: Keys of a node that no segment has.
+_ENDS, _SIZES = 0, 1
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.DOTALL)
 _OUT = T.StructType([T.StructField(n, T.StringType()) for n in ("host", "path", "rule", "verdict")])
@@ -47,9 +51,13 @@ class Trie:
             *whole, last = path.split("/")  # "/en/" -> "", "en" | ""
             for segment in whole:
                 node = node.setdefault(segment, {})
-            node.setdefault("/", {})[last] = (verdict, host + path)
+            ends = node.setdefault(_ENDS, {})
+            ends[last] = (verdict, host + path, len(host))
+            sizes = node.setdefault(_SIZES, [])  # of the unfinished segments that entries end with here, in order
+            if len(last) not in sizes:
+                bisect.insort(sizes, len(last))
 
-    def find(self, host: str, path: str) -> tuple[str, str] | None:
+    def find(self, host: str, path: str) -> tuple[str, str, int] | None:
         best, node, segments = None, self.hosts, path.split("/")
         for label in reversed(host.split(".")):
             if (node := node.get(label)) is None:
@@ -58,8 +66,12 @@ class Trie:
             for segment in segments:
                 if at is None:
                     break
-                for part, entry in at.get("/", {}).items():  # entries that end within this segment
-                    if segment.startswith(part) and (best is None or len(entry[1]) > len(best[1])):
+                ends = at.get(_ENDS, {})
+                for n in at.get(_SIZES, ()):  # entries that end within this segment, by the lengths that there are
+                    if n > len(segment):
+                        break
+                    entry = ends.get(segment[:n])
+                    if entry and (best is None or (len(entry[1]), entry[2]) >= (len(best[1]), best[2])):
                         best = entry
                 at = at.get(segment)
         return best
@@ -107,7 +119,7 @@ def _joined(pages: DataFrame, rules: list, default: str, url_col: str) -> DataFr
     keys = base.select("host", "path").distinct()
     keys = keys.select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))).alias("rule_host"))
     keys = keys.select("*", F.explode(F.transform(F.filter(sizes, lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))).alias("rule_path"))
-    best = keys.join(entries, ["rule_host", "rule_path"]).groupBy("host", "path").agg(F.max_by(F.struct("verdict", F.concat("rule_host", "rule_path").alias("rule")), F.length(F.concat("rule_host", "rule_path"))).alias("hit"))
+    best = keys.join(entries, ["rule_host", "rule_path"]).groupBy("host", "path").agg(F.max_by(F.struct("verdict", F.concat("rule_host", "rule_path").alias("rule")), F.struct(F.length(F.concat("rule_host", "rule_path")), F.length("rule_host"))).alias("hit"))
     return base.join(best, ["host", "path"], "left").select(*[c for c in base.columns], F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
 
 
