@@ -102,3 +102,15 @@ def angle_between(a: Column, b: Column) -> Column:
     na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v))
     nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda s, v: s + v * v))
     return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / (na * nb)))))
+
+
+#: Groups of land-cover codes: developed, crops, forest, grass and shrub, wetland, water, barren.
+LAND_COVER = {0: (21, 22, 23, 24), 1: (81, 82), 2: (41, 42, 43), 3: (52, 71), 4: (90, 95), 5: (11,), 6: (31,)}
+
+
+def land_cover_group(code: Column) -> Column:
+    """The group of a land-cover code; NO_DATA for other codes."""
+    out = F
+    for group, codes in LAND_COVER.items():
+        out = out.when(code.isin(*codes), group)
+    return out.otherwise(NO_DATA)

@@ -18,10 +18,12 @@ def allocation(labels: DataFrame, total: int = 20000, least: int = 600, most: in
     return counts.select("cls", "n", F.least(F.greatest(F.least(share, F.lit(most)), F.lit(least)), F.col("n")).cast("long").alias("n_sample"))
 
 
-def sample(labels: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
-    """So many pixels of each class, chosen by a hash of pos."""
-    nth = F.row_number().over(Window.partitionBy("cls").orderBy(F.xxhash64("pos", F.lit(seed)), "pos"))
-    return labels.withColumn("__nth", nth).join(F.broadcast(plan.select("cls", "n_sample")), "cls").filter("__nth <= n_sample").drop("__nth", "n_sample")
+def sample(labels: DataFrame, plan: DataFrame, seed: int = 42, most: int = 8000) -> DataFrame:
+    """So many pixels of each class, chosen by a hash of pos. most: no class gets more (as in allocation), so that each task
+    sends its first rows of a class only."""
+    nth = F.row_number().over(Window.partitionBy("cls").orderBy(F.md5(F.concat_ws("-", "pos", F.lit(seed))), "pos"))
+    first = labels.withColumn("__nth", nth).filter(F.col("__nth") <= most)
+    return first.join(F.broadcast(plan.select("cls", "n_sample")), "cls").filter("__nth <= n_sample").drop("__nth", "n_sample")
 
 
 def train(features: DataFrame, labels: DataFrame, trees: int = 100, depth: int = 20) -> RandomForestClassificationModel:
@@ -35,3 +37,22 @@ def classify(features: DataFrame, model: RandomForestClassificationModel) -> Dat
     out = model.transform(features.withColumn("features", array_to_vector("f")))
     empty = F.forall("f", lambda x: x == NO_DATA)
     return out.select("pos", "year", F.when(empty, NO_CLASS).otherwise(F.col("prediction").cast("int")).cast("smallint").alias("cls"))
+
+
+def save(model: RandomForestClassificationModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> RandomForestClassificationModel:
+    return RandomForestClassificationModel.load(path)
+
+
+def write_years(maps: DataFrame, path: str) -> None:
+    """Classified maps (pos, year, cls), one folder a year."""
+    maps.repartition("year").write.partitionBy("year").mode("overwrite").parquet(path)
+
+
+def read_years(spark, path: str, years: list[int] | None = None) -> DataFrame:
+    """(pos, year, cls); of given years only their folders are read."""
+    maps = spark.read.schema("pos long, cls smallint, year int").parquet(path)
+    return (maps.filter(F.col("year").isin(years)) if years is not None else maps).select("pos", "year", "cls")

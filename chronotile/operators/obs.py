@@ -64,3 +64,34 @@ def seasonal_error(residuals: DataFrame, day: int, n: int = 24, df: int = 8) ->
     away = F.abs(F.round(off / 365.25) * 365.25 - off)
     nth = F.row_number().over(Window.partitionBy("pos").orderBy(away, "date", "seq"))
     return residuals.withColumn("__nth", nth).filter(F.col("__nth") <= n).groupBy("pos").agg(F.sqrt(F.sum(F.col("residual") * F.col("residual")) / (n - df)).alias("rmse"))
+
+
+def _steps(obs: DataFrame) -> DataFrame:
+    gap = F.lead("date").over(series()) - F.col("date")
+    return obs.select("pos", "date", gap.alias("gap"), *[F.abs(F.lead(b).over(series()) - F.col(b)).alias(b) for b in BANDS])
+
+
+def variability_by_slope(obs: DataFrame, most_gap: int = 91) -> DataFrame:
+    """By pixel and band the median change a day over gaps of less than most_gap days, times the mean gap of the series."""
+    mean_gap = (F.max("date") - F.min("date")) / (F.count("*") - 1)
+    slopes = [F.median(F.when(F.col("gap") < most_gap, F.col(b) / F.col("gap"))).alias(f"__{b}") for b in BANDS]
+    rows = _steps(obs).groupBy("pos").agg(*slopes, F.when(F.count("*") > 1, mean_gap).alias("__gap"))
+    return rows.select("pos", *[(F.col(f"__{b}") * F.col("__gap")).alias(f"min_rmse_{b}") for b in BANDS])
+
+
+def variability_near_pairs(obs: DataFrame, factor: float = 3.0) -> DataFrame:
+    """By pixel and band the median absolute difference over gaps of less than `factor` times the pixel's median gap."""
+    median_gap = F.median("gap").over(Window.partitionBy("pos"))
+    rows = _steps(obs).filter("gap is not null").withColumn("__most", median_gap * factor).filter("gap < __most")
+    return rows.groupBy("pos").agg(*[F.median(b).alias(f"min_rmse_{b}") for b in BANDS])
+
+
+def band_variability(obs: DataFrame, band: str, by_day: bool = False) -> DataFrame:
+    """By pixel the median absolute difference of a band between successive observations; by_day: each divided by its gap first."""
+    step = F.col(band) / F.col("gap") if by_day else F.col(band)
+    return _steps(obs).filter("gap > 0").groupBy("pos").agg(F.median(step).alias("min_rmse"))
+
+
+def between(obs: DataFrame, first: int, last: int) -> DataFrame:
+    """Observations of the days from first to last, both included."""
+    return obs.filter(F.col("date").between(first, last))

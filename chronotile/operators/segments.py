@@ -84,3 +84,25 @@ def first_shift(segments: DataFrame, band: int, up: bool) -> DataFrame:
     """By pixel the year of its first break whose magnitude in a band goes up (or down)."""
     m = F.col("magnitude")[band]
     return segments.filter((F.col("t_break") > 0) & ((m > 0) if up else (m < 0))).groupBy("pos").agg(F.year(C.from_ordinal(F.min("t_break"))).alias("year"))
+
+
+def angles(vectors: DataFrame, vector: str = "magnitude", by: str = "seg") -> DataFrame:
+    """By pixel the mean and the median angle in degrees between successive vectors (in the order of `by`; none for a single one
+    or beside a zero vector), and the mean angle to the vector of the elements' medians."""
+    v = F.col(vector).cast("array<double>")
+    rows = vectors.select("pos", F.col(by).alias("__by"), v.alias("v")).withColumn("was", F.lag("v").over(Window.partitionBy("pos").orderBy("__by")))
+    n = 7
+    middle = F.array(*[F.median(F.col("v")[k]).over(Window.partitionBy("pos")) for k in range(n)])
+    rows = rows.withColumn("middle", middle)
+
+    def angle(a, b):
+        some = F.exists(a, lambda x: x != 0) & F.exists(b, lambda x: x != 0)
+        return F.when(some, C.angle_between(a, b))
+
+    step, off = angle(F.col("v"), F.col("was")), angle(F.col("v"), F.col("middle"))
+    return rows.groupBy("pos").agg(F.avg(step).alias("mean"), F.median(step).alias("median"), F.avg(off).alias("mean_to_median"))
+
+
+def count_ids(ids) -> Column:
+    """How many numbers of an array aren't 0."""
+    return F.size(F.filter(ids, lambda x: x != 0))

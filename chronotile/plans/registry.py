@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,6 +93,34 @@ def seasonal_nearest_rmse(spark, d):
     rows = _clear(spark, d).select("pos", "seq", "date", (F.col("green") - 700).cast("double").alias("residual"))
     return obs.seasonal_error(rows, 730000).select("pos", F.round("rmse", 6).alias("rmse"))
 
+_STEPS = f"{_CLEAR}, s AS (SELECT pos, date, lead(date) OVER w - date AS gap, {', '.join(f'abs(lead({b}) OVER w - {b}) AS {b}' for b in BANDS)} FROM clear WINDOW w AS (PARTITION BY pos ORDER BY date, seq))"
+
+
+@query(f"{_STEPS} SELECT pos, {', '.join(f'round(median({b} / gap) FILTER (gap < 91) * ((max(date) - min(date)) / (count(*) - 1)), 6) AS min_rmse_{b}' for b in BANDS)} FROM s GROUP BY pos HAVING count(*) > 1")
+def variogram_slopes(spark, d):
+    out = obs.variability_by_slope(_clear(spark, d)).filter("min_rmse_blue is not null")
+    return out.select("pos", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
+@query(f"{_STEPS}, m AS (SELECT *, median(gap) OVER (PARTITION BY pos) AS mg FROM s WHERE gap IS NOT NULL) SELECT pos, {', '.join(f'CAST(median({b}) AS DOUBLE) AS min_rmse_{b}' for b in BANDS)} FROM m WHERE gap < 3 * mg GROUP BY pos")
+def variogram_near_pairs(spark, d):
+    return obs.variability_near_pairs(_clear(spark, d))
+
+
+@query(f"{_STEPS} SELECT pos, CAST(median(nir) AS DOUBLE) AS min_rmse FROM s WHERE gap > 0 GROUP BY pos")
+def variogram_band(spark, d):
+    return obs.band_variability(_clear(spark, d), "nir")
+
+
+@query(f"{_STEPS} SELECT pos, round(median(nir / gap), 6) AS min_rmse FROM s WHERE gap > 0 GROUP BY pos")
+def variogram_band_by_day(spark, d):
+    return obs.band_variability(_clear(spark, d), "nir", by_day=True).withColumn("min_rmse", F.round("min_rmse", 6))
+
+
+@query(f"{_O} SELECT pos, seq, date FROM obs WHERE date BETWEEN 728500 AND 729500")
+def obs_between(spark, d):
+    return obs.between(A.obs(spark, d), 728500, 729500).select("pos", "seq", "date")
+
 
 def _qa_case(rules, default):
     return "CASE " + " ".join(f"WHEN (w >> {k}) & 1 = 1 THEN {c}" for k, c in reversed(rules)) + f" ELSE {default} END"
@@ -306,6 +335,52 @@ def harmonic_prediction(spark, d):
     s = A.segments(spark, d).select("pos", "seg", F.col("coefs")[1].cast("array<double>").alias("c"))
     return s.crossJoin(F.broadcast(_days(spark))).select("pos", "seg", "day", F.round(C.harmonic(F.col("c"), F.col("day")), 4).alias("value"))
 
+def _duck_angle(a: str, b: str) -> str:
+    norm = lambda v: f"sqrt(list_sum(list_transform({v}, lambda x: x * x)))"
+    dot = f"list_sum(list_transform(range(1, 8), lambda i: {a}[i] * {b}[i]))"
+    return f"CASE WHEN {norm(a)} > 0 AND {norm(b)} > 0 THEN degrees(acos(greatest(-1, least(1, {dot} / ({norm(a)} * {norm(b)}))))) END"
+
+
+_VECTORS = f"{_S}, v AS (SELECT pos, seg, list_transform(magnitude, lambda x: CAST(x AS DOUBLE)) AS v FROM seg), a AS (SELECT *, lag(v) OVER (PARTITION BY pos ORDER BY seg) AS was, [{', '.join(f'median(v[{k}]) OVER (PARTITION BY pos)' for k in range(1, 8))}] AS middle FROM v)"
+
+
+@query(f"{_VECTORS}, d AS (SELECT pos, CASE WHEN was IS NOT NULL THEN {_duck_angle('v', 'was')} END AS step, {_duck_angle('v', 'middle')} AS off FROM a) SELECT pos, round(avg(step), 4) AS mean, round(median(step), 4) AS median, round(avg(off), 4) AS mean_to_median FROM d GROUP BY pos")
+def residual_angles(spark, d):
+    out = segments.angles(A.segments(spark, d))
+    return out.select("pos", *[F.round(c, 4).alias(c) for c in out.columns[1:]])
+
+
+@query(f"{_S}, i AS (SELECT pos, list(t_break ORDER BY seg) AS ids FROM seg GROUP BY pos) SELECT pos, CAST(len(list_filter(ids, lambda x: x <> 0)) AS INT) AS n_ids FROM i")
+def count_ids(spark, d):
+    ids = A.segments(spark, d).groupBy("pos").agg(F.collect_list("t_break").alias("ids"))  # a pixel has a few dozen segments
+    return ids.select("pos", segments.count_ids(F.col("ids")).alias("n_ids"))
+
+
+@query("SELECT p_partkey, CAST(CASE " + " ".join(f"WHEN p_partkey % 100 IN ({', '.join(map(str, codes))}) THEN {g}" for g, codes in C.LAND_COVER.items()) + " ELSE -9999 END AS INT) AS cover FROM part")
+def land_cover_group(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", C.land_cover_group(F.col("p_partkey") % 100).alias("cover"))
+
+
+@query(f"{_R}, n AS (SELECT cls, count(*) AS n FROM ras GROUP BY cls), k AS (SELECT cls, CAST(least(greatest(least(round_even(n * 300 / sum(n) OVER (), 0), 60), 20), n) AS BIGINT) AS n_sample FROM n) SELECT pos, cls FROM (SELECT pos, cls, n_sample, row_number() OVER (PARTITION BY cls ORDER BY md5(pos || '-42'), pos) AS nth FROM ras JOIN k USING (cls)) WHERE nth <= n_sample")
+def class_sample(spark, d):
+    rows = A.raster(spark, d).select("pos", "cls")
+    return landcover.sample(rows, landcover.allocation(rows, 300, 20, 60), most=60)
+
+
+@query(f"{_CM}, ch AS (SELECT DISTINCT pos, cm_idx FROM cmt WHERE (pos + cm_idx) % 4 = 0) SELECT pos, CAST(cm_date + 723742 AS INT) AS break_date FROM cmt JOIN ch USING (pos, cm_idx) WHERE cm_date <> -9999")
+def change_dates(spark, d):
+    rows = cm.bucket_max(_measures(spark, d), 728200, 90)
+    return workflows.change_maps(rows.filter((F.col("pos") + F.col("cm_idx")) % 4 == 0).select("pos", "cm_idx"), rows)
+
+
+@query(f"{_S}, {_DAYS}, {_HELD.format('t_end + 1')}, p AS (SELECT DISTINCT pos FROM seg) SELECT pos, CAST(year({_DAY.format('\"day\"')}) AS INT) AS year, band, round(coalesce(coefs[band + 1][1] + CAST(coefs[band + 1][2] AS DOUBLE) * \"day\" / 10000.0::DOUBLE, -9999), 6) AS a0, round(coalesce(CAST(coefs[band + 1][3] AS DOUBLE), -9999), 6) AS a1 FROM (SELECT * FROM p, days, (SELECT unnest(range(7)) AS band)) q LEFT JOIN held USING (pos, \"day\")")
+def yearly_features(spark, d):
+    s = A.segments(spark, d).withColumn("coefs", F.col("coefs").cast("array<array<double>>"))
+    rows = workflows.yearly_features(s, s.select("pos").distinct(), list(YEARS), names=("a0", "a1"))
+    each = rows.select("pos", "year", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda b: F.struct(F.get("f", 2 * b).alias("a0"), F.get("f", 2 * b + 1).alias("a1")))).alias("band", "x"))
+    return each.select("pos", "year", F.col("band").cast("long").alias("band"), F.round("x.a0", 6).alias("a0"), F.round("x.a1", 6).alias("a1"))
+
+
 
 @query()
 def cold(spark, d):
@@ -339,13 +414,23 @@ def sccd_identify(spark, d):
     return nrt.identify(nrt.detect(A.obs(spark, d)))
 
 
+def _shared(spark) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset, one of this machine if all runs here."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return (found or f"file://{tempfile.gettempdir()}").rstrip("/")
+
+
 @query()
 def sccd_stream(spark, d):
     """The observations as a stream of two batches; the newest state of each pixel."""
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/chronotile'}/stream-{uuid.uuid4().hex}"
+    base = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     o = A.obs(spark, d)
     for k, part in enumerate((o.filter("date < 729900"), o.filter("date >= 729900"))):
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        part.write.mode("append").parquet(f"{base}/in")
         source = spark.readStream.schema(OBS).parquet(f"{base}/in")
         q = nrt.stream(source).writeStream.outputMode("update").foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{base}/out/batch={n}")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
         q.awaitTermination()

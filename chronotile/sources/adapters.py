@@ -29,8 +29,8 @@ def obs_sql(days: str) -> str:
     """days: how the dialect turns a date into days since 1970."""
     bands = ", ".join(f"CAST({e} AS INT) AS {b}" for b, e in _BANDS.items())
     return f"""SELECT pos, CAST(seq AS INT) AS seq, CAST(d AS INT) AS date, {bands}, CAST({_QA} AS INT) AS qa FROM (
-  SELECT l_suppkey + 1 AS pos, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS seq,
-    {days} + {ORDINAL} AS d, l_orderkey AS o, l_partkey AS p, l_linenumber AS n FROM lineitem) AS source"""
+  SELECT pos, row_number() OVER (PARTITION BY pos ORDER BY d, l_shipdate, o, n, p, l_quantity, l_extendedprice) AS seq, d, o, p, n FROM (
+    SELECT l_suppkey + 1 AS pos, {days} + {ORDINAL} AS d, l_orderkey AS o, l_partkey AS p, l_linenumber AS n, l_shipdate, l_quantity, l_extendedprice FROM lineitem) AS named) AS source"""
 
 
 def segments_sql(days: str, numbers) -> str:

@@ -100,6 +100,5 @@ def stream(obs: DataFrame, **parameters) -> DataFrame:
 
 
 def latest(updates: DataFrame) -> DataFrame:
-    """Of what a stream wrote the newest pack of each pixel, that with the most observations behind it."""
-    rank = F.struct(F.col("n_segments"), F.get_json_object("pack", "$.model.day").cast("int"), F.length("pack"))
-    return updates.groupBy("pos").agg(F.max_by(F.struct("nrt_mode", "n_segments", "last_break", "num_obs"), rank).alias("m")).select("pos", "m.*")
+    """Of what a stream wrote (batch: its number, as that of the folder) the newest pack of each pixel."""
+    return updates.groupBy("pos").agg(F.max_by(F.struct("nrt_mode", "n_segments", "last_break", "num_obs"), "batch").alias("m")).select("pos", "m.*")
