@@ -224,6 +224,61 @@ def test_suffix_tree(docs):
     assert sum(r["score"] for r in rows if r["held_out"]) > sum(r["base_score"] for r in rows if r["held_out"])
 
 
+def test_suffix_tree_equals_plain(spark):
+    """Scores of 200 texts in several stretches against counts of all runs and the definitions, one token at a time."""
+    r = random.Random(21)
+    texts = [(i, " ".join(r.choice(("a b c", "a b d", "x a b c d", "c d e", "e")) if r.random() < 0.6 else r.choice(VOCABULARY) for _ in range(r.randint(0, 60)))) for i in range(200)]
+    held = {i for i, _ in texts if zlib.crc32(str(i).encode()) % 10 == 0}
+    said = {i: [None, *t.split(), ""] for i, t in texts}  # None: the begin
+    depth, runs = suffixtree.DEPTH, Counter()
+    for i, ws in said.items():
+        if i not in held:
+            runs.update(tuple(ws[k : k + n]) for n in range(1, depth + 2) for k in range(len(ws) - n + 1))
+    words = {w[0]: n for w, n in runs.items() if len(w) == 1 and w[0] is not None}
+    tokens, kinds = sum(words.values()), len(words)
+    once, twice = (sum(n == k for n in words.values()) for k in (1, 2))
+    d = min(0.95, max(0.05, once / (once + 2 * twice)))
+    runs = {w: n for w, n in runs.items() if n >= suffixtree.P_MIN * tokens}
+    follow = defaultdict(dict)
+    for w, n in runs.items():
+        if len(w) > 1:
+            follow[w[:-1]][w[-1]] = n
+    states = {}
+
+    def p(context, x):
+        if not context:
+            return max(words[x] - d, 0) / tokens if words.get(x) else d * kinds / tokens
+        q = p(context[1:], x)
+        if context not in states:
+            return q
+        n, each = states[context]
+        return max(each.get(x, 0) - d, 0) / n + (1 - sum(k - d for k in each.values()) / n) * q
+
+    for context in sorted(follow, key=len):
+        each, n = follow[context], runs.get(context, 0)
+        told = {x: max(p(context[1:], x), 0) for x in each}
+        rest, left = n - sum(each.values()), max(1e-12, 1 - sum(told.values()))
+        if n >= sum(each.values()) and sum(k * math.log(k / n / told[x]) for x, k in each.items()) + (rest * math.log(rest / n / left) if rest else 0) >= suffixtree.GAIN * len(each):
+            states[context] = (n, each)
+    assert {len(c) for c in states} == {1, 2, 3, 4} and len(states) < len(follow)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    for row in suffixtree.score(df, common.bucket("doc_id", 10) == 0).collect():
+        ws = said[row["doc_id"]]
+        want = sum(math.log10(p(tuple(ws[max(0, k - depth) : k]), ws[k])) for k in range(1, len(ws)))
+        assert row["score"] == pytest.approx(want, abs=1e-6)
+
+
+def test_suffix_tree_candidates_are_bounded_and_whole(spark, monkeypatch):
+    """Every run with the share in all is a candidate, and there are no more of them than the bound says."""
+    monkeypatch.setattr(suffixtree, "P_MIN", 0.02)
+    r = random.Random(2)
+    stretches = [Counter(r.choice("aaaabbbccd" + "efghijklmnop"[k : k + 6]) for _ in range(400)) for k in range(7)]
+    rows = [(None, n, w, k) for c in stretches for w, k in c.items() if (n := sum(c.values())) and k >= 0.01 * n]
+    got = {x[0] for x in suffixtree.candidates(spark.createDataFrame(rows, "chunk long, n_tokens long, word string, n long"), 2800).collect()}
+    total = sum(stretches, Counter())
+    assert {w for w, n in total.items() if n >= 0.02 * 2800} <= got and len(got) <= 2 / 0.02
+
+
 def test_suffix_tree_distributions():
     """The listed symbols' and the others' probabilities sum to 1 in every state, and arrays agree with the tree."""
     import numpy as np
