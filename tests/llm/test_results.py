@@ -133,6 +133,20 @@ def test_packing_parts():
         assert ids.tolist() == [*t.encode(x, add_special_tokens=False).ids, 1]
 
 
+def test_sketches_equal_single_texts():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    texts = [r.integers(0, 50_000, n).astype("<u4") for n in (1, 2, 3, 700, 1, 4, 90)]
+    odd, n = packing._ODD, packing.TRIPLES
+    for x, got in zip(texts, packing.sketches(texts), strict=True):
+        x = x.astype(np.uint64) + np.uint64(1)
+        t = np.array([x[k] * odd[-1] + x[k + 1] * odd[-2] + x[k + 2] * odd[-3] for k in range(len(x) - 2)] or [x[0]], np.uint64)
+        t, one = t ^ (t >> np.uint64(31)), x * odd[-1]
+        one ^= one >> np.uint64(29)
+        assert got.tolist() == [int((t * m).min()) for m in odd[:n]] + [int((one * m).min()) for m in odd[n:-3]]
+
+
 def test_paths_prefer_low_degrees_and_similar():
     graph = [{1: 3, 2: 1}, {0: 3, 2: 5}, {0: 1, 1: 5, 3: 2}, {2: 2}]
     assert packing.paths(graph) == [[3, 2, 1, 0]]
