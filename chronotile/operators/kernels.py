@@ -102,3 +102,42 @@ def magnitudes(obs: DataFrame, start: int, n_cm: int, interval: int = 60, t_cg:
             yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int32(), pa.int16(), pa.int16()), strict=True)})
 
     return packed(obs).mapInArrow(run, "pos long, cm_idx int, cm smallint, cm_date smallint")
+
+
+def detect_both(obs: DataFrame, start: int, n_cm: int, interval: int = 60, t_cg: float = 15.0863, conse: int = 6, b_c2: bool = False, gap_days: float = 365.25) -> DataFrame:
+    """A row for each pixel with its segments and its change magnitudes, from one pass; see segments_of() and magnitudes_of()."""
+    validate(starting_date=start, n_cm=n_cm, t_cg=t_cg, conse=conse, b_c2=b_c2, gap_days=gap_days)
+    fields = [f for f in SEGMENTS.split(", ") if f.split()[0] != "pos"]
+    schema = f"pos long, segments array<struct<{', '.join(f.replace(' ', ': ', 1) for f in fields)}>>, cm array<smallint>, cm_date array<smallint>, status string"
+
+    import pyspark.sql.types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for pos, days, bands, qa, _ in _series(batch):
+                m, found, status = cold.Magnitudes(start, interval, n_cm), [], "ok"
+                try:
+                    found = cold.detect(days, bands, qa, t_cg, conse, b_c2, gap_days, m)
+                    status = "ok" if found else "no model"
+                except (ValueError, FloatingPointError, np.linalg.LinAlgError, IndexError) as e:
+                    status = f"failed: {e}"[:200]
+                rows = [asdict(s) | {"seg": n} for n, s in enumerate(found)]
+                out.append({"pos": pos, "segments": [r | {c: np.asarray(r[c], np.float32).tolist() for c in ("coefs", "rmse", "magnitude")} for r in rows], "cm": m.cm.tolist(), "cm_date": m.day.tolist(), "status": status})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return packed(obs, b_c2).mapInArrow(run, schema)
+
+
+def segments_of(both: DataFrame) -> DataFrame:
+    """The segments of detect_both(), as detect() has them."""
+    rows = both.select("pos", F.explode_outer("segments").alias("s"), "status")
+    return rows.select("pos", *[F.col(f"s.{f.split()[0]}") for f in SEGMENTS.split(", ")[1:]], "status")
+
+
+def magnitudes_of(both: DataFrame) -> DataFrame:
+    """The magnitudes of detect_both(), as magnitudes() has them."""
+    return both.select("pos", F.posexplode(F.arrays_zip("cm", "cm_date")).alias("cm_idx", "m")).select("pos", F.col("cm_idx").cast("int").alias("cm_idx"), "m.cm", "m.cm_date")
