@@ -126,10 +126,14 @@ def slic(cm: np.ndarray, day: np.ndarray, previous: np.ndarray | None = None, pi
     place, colour = at[centre].astype(float), value[centre]
     step = np.sqrt(len(at) / k)
     scale = (compactness * max(float(np.ptp(value)), 1e-9) / step) ** 2
+    number = np.full(a.shape, -1)
+    number[at[:, 0], at[:, 1]] = np.arange(len(at))
     for _ in range(rounds):
         best, own = np.full(len(at), np.inf), np.zeros(len(at), int)
+        low, high = np.maximum(np.ceil(place - 2 * step), 0).astype(int), np.floor(place + 2 * step).astype(int) + 1
         for c in range(k):
-            near = np.flatnonzero((np.abs(at - place[c]) <= 2 * step).all(1))
+            near = number[low[c, 0] : high[c, 0], low[c, 1] : high[c, 1]]  # a cluster looks at its surroundings only
+            near = near[near >= 0]
             far = (value[near] - colour[c]) ** 2 + scale * ((at[near] - place[c]) ** 2).sum(1)
             less = far < best[near]
             best[near[less]], own[near[less]] = far[less], c

@@ -47,6 +47,20 @@ def validate(**given) -> None:
             raise ValueError(f"{name} = {value!r} is too large")
 
 
+def check_series(days, bands, qa) -> None:
+    """Raise ValueError unless a pixel's arrays are one-dimensional (bands: one array each) and equally long."""
+    sizes = set()
+    for name, a in (("days", days), ("qa", qa), *zip(BANDS, bands, strict=False)):
+        shape = getattr(a, "shape", None) or (len(a),)
+        if len(shape) != 1:
+            raise ValueError(f"{name} has {len(shape)} dimensions")
+        sizes.add(shape[0])
+    if len(bands) != len(BANDS):
+        raise ValueError(f"{len(bands)} bands instead of {len(BANDS)}")
+    if len(sizes) != 1:
+        raise ValueError(f"arrays of different lengths: {sorted(sizes)}")
+
+
 @dataclass(frozen=True)
 class Grid:
     """A tile of n_rows x n_cols pixels in n_block_x x n_block_y blocks."""

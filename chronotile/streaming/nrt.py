@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from chronotile.operators import kernels, nrt
 from chronotile.schema import BANDS, validate
 
+#: Observations that may wait in a pack with a model.
+MOST_CONSE = 8
 PACK = "pos long, nrt_mode smallint, n_segments int, last_break int, num_obs int, conse_last int, late int, pack string"
 
 
@@ -31,6 +33,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _checked(parameters: dict) -> bool:
     """Raise ValueError for a parameter out of its range; whether bands are scaled as Collection 2."""
+    if parameters.get("conse", 6) > MOST_CONSE:
+        raise ValueError(f"conse = {parameters['conse']!r} is too large; a pack keeps {MOST_CONSE} observations at most")
     names = {"gate": "gate_tcg", "predictability": "predictability_tcg", "collection2": "b_c2"}
     validate(**{names.get(k, k): v for k, v in parameters.items()})
     return parameters.get("collection2", False)

@@ -171,6 +171,31 @@ def test_parameters():
     assert Grid.of({"n_rows": 10, "n_cols": 20, "n_block_x": 2, "other": 1}).block_width == 10
 
 
+def test_arrays_are_checked():
+    days, bands, qa = series(30)
+    for bad in ((days[:-1], bands, qa), (days, bands[:6], qa), (days, bands, qa[:, None])):
+        with pytest.raises(ValueError):
+            cold.detect(*bad)
+
+
+def test_filter_gap_equals_single_days():
+    r = np.random.default_rng(4)
+    one, many = (nrt.Filter(np.ones((6, 6)), 730000, np.ones(6)) for _ in range(2))
+    one.state = many.state = r.normal(0, 100, (6, 6))
+    for d in range(730001, 730901):
+        one.advance(d)
+    many.advance(730900)
+    assert np.allclose(one.state, many.state) and np.allclose(one.p, many.p)
+
+
+def test_clusters_of_a_large_map():
+    r = np.random.default_rng(6)
+    cm = np.where(r.random((300, 300)) < 0.7, 1500 + 100 * r.random((300, 300)), -9999.0)
+    s1, s2, means = raster.slic(cm, np.full(cm.shape, 9000.0))
+    n = np.bincount(s1.ravel())[1:]
+    assert n.sum() == (s1 > 0).sum() and 15 < n[n > 0].mean() < 40 and set(np.unique(s1)) - {0} == set(means)
+
+
 def test_labels_and_floods():
     mask = np.array([[1, 0, 0, 1], [0, 1, 0, 1], [0, 0, 0, 0], [1, 1, 0, 0]], bool)
     assert raster.label(mask).tolist() == [[1, 0, 0, 2], [0, 1, 0, 2], [0, 0, 0, 0], [3, 3, 0, 0]]
