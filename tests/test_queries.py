@@ -54,3 +54,100 @@ def test_stream_equals_batch(spark):
     batch = {r["pos"]: (r["nrt_mode"], r["n_segments"], r["last_break"], r["num_obs"]) for r in registry.queries()["sccd_update"](spark, DATA).collect()}
     stream = {r["pos"]: (r["nrt_mode"], r["n_segments"], r["last_break"], r["num_obs"]) for r in registry.queries()["sccd_stream"](spark, DATA).collect()}
     assert stream == batch
+
+
+@pytest.fixture(scope="module")
+def series(spark):
+    """By pixel (days, bands, qa) of the observations of ten pixels, in their order."""
+    from chronotile.schema import BANDS
+    from chronotile.sources import adapters
+
+    rows = adapters.obs(spark, DATA).toPandas().sort_values(["pos", "date", "seq"])
+    return {int(p): (g["date"].to_numpy(), g[BANDS].to_numpy().T, g["qa"].to_numpy()) for p, g in rows.groupby("pos")}
+
+
+def test_cold_values(spark, series):
+    """Every pixel's segments, by Spark and by the kernel alone, and from the pass that makes magnitudes too."""
+    from chronotile.operators import cold, kernels
+    from chronotile.sources import adapters
+
+    got = {}
+    for r in registry.queries()["cold"](spark, DATA).collect():
+        got.setdefault(r["pos"], []).append(r)
+    assert set(got) == set(series)
+    for pos, args in series.items():
+        want = cold.detect(*args)
+        mine = sorted(got[pos], key=lambda r: r["seg"] if r["seg"] is not None else -1)
+        assert [(r["t_start"], r["t_end"], r["t_break"], r["num_obs"], r["category"], r["change_prob"]) for r in mine if r["seg"] is not None] == [(s.t_start, s.t_end, s.t_break, s.num_obs, s.category, s.change_prob) for s in want]
+        for r, s in zip((r for r in mine if r["seg"] is not None), want, strict=True):
+            assert all(abs(x - y) <= 1e-3 + 1e-5 * abs(y) for a, b in zip(r["coefs"], s.coefs, strict=True) for x, y in zip(a, b, strict=True))
+    both = kernels.detect_both(adapters.obs(spark, DATA), 728000, 50, 60).persist()
+    again = sorted((r["pos"], r["seg"], r["t_break"]) for r in kernels.segments_of(both).collect() if r["seg"] is not None)
+    assert again == sorted((r["pos"], r["seg"], r["t_break"]) for rows in got.values() for r in rows if r["seg"] is not None)
+    cm = sorted(map(tuple, kernels.magnitudes_of(both).collect()))
+    assert cm == sorted(map(tuple, registry.queries()["cold_magnitudes"](spark, DATA).collect()))
+    for pos, args in series.items():
+        m = cold.Magnitudes(728000, 60, 50)
+        cold.detect(*args, magnitudes=m)
+        assert [x[2] for x in cm if x[0] == pos] == m.cm.tolist() and [x[3] for x in cm if x[0] == pos] == m.day.tolist()
+
+
+def test_obcold_values(spark, series):
+    from chronotile.operators import cold
+
+    rows = [r for r in registry.queries()["obcold"](spark, DATA).collect() if r["seg"] is not None]
+    for pos, args in series.items():
+        assert [(r["t_start"], r["t_end"], r["t_break"]) for r in sorted(rows, key=lambda r: r["seg"]) if r["pos"] == pos] == [(s.t_start, s.t_end, s.t_break) for s in cold.reconstruct(*args, [729701])]
+
+
+def test_sccd_values(spark, series):
+    """Packs of a query are those of the kernel over each pixel; an update over two parts leads to the same breaks."""
+    from chronotile.operators import nrt
+
+    named = {n: {r["pos"]: r for r in registry.queries()[n](spark, DATA).collect()} for n in ("sccd", "sccd_update", "sccd_identify")}
+    for pos, (days, bands, qa) in series.items():
+        pack = nrt.detect(days, bands, qa)
+        r = named["sccd"][pos]
+        assert (r["nrt_mode"], r["n_segments"], r["num_obs"]) == (pack.nrt_mode, len(pack.segments), (pack.model or {}).get("num_obs", 0))
+        early = days < 729900
+        cut = nrt.update(nrt.detect(days[early], bands[:, early], qa[early]), days[~early], bands[:, ~early], qa[~early])
+        r = named["sccd_update"][pos]
+        assert (r["nrt_mode"], r["n_segments"], r["last_break"]) == (cut.nrt_mode, len(cut.segments), cut.segments[-1]["t_break"] if cut.segments else 0)
+        assert named["sccd_identify"][pos]["disturbed_on"] == nrt.identify(pack)[1]
+    assert any(r["n_segments"] for r in named["sccd"].values())
+
+
+def test_segmented_maps_values(spark):
+    """Labels of whole maps by Spark are those of the arrays."""
+    import numpy as np
+
+    from chronotile.operators import raster
+
+    maps = registry._raster_maps(spark, DATA).toPandas()
+    for name, work in raster.METHODS.items():
+        got = registry.queries()[f"segment_{name}"](spark, DATA).toPandas()
+        for k, g in maps.groupby("cm_idx"):
+            shape = (-(-int(maps["pos"].max()) // 50), 50)
+            cm, day = (np.full(shape, -9999.0) for _ in range(2))
+            cm.ravel()[g["pos"] - 1], day.ravel()[g["pos"] - 1] = g["cm"], g["cm_date"]
+            s1, s2, means = work(cm, day)
+            mine = got[got["cm_idx"] == k].sort_values("pos")
+            assert mine["s1"].tolist() == s1.ravel()[mine["pos"] - 1].tolist() and mine["s2"].tolist() == s2.ravel()[mine["pos"] - 1].tolist()
+            assert np.allclose(mine["cm"], [means.get(int(x), -9999.0) for x in mine["s1"]])
+
+
+def test_objects_with_classes(spark):
+    """With classes of the year before, an object of a class with a higher threshold no longer counts as changed."""
+    from chronotile.plans import workflows
+    from chronotile.schema import Grid
+    from chronotile.sources import adapters
+
+    o = adapters.obs(spark, DATA).persist()
+    pixels = o.select("pos").distinct()
+    n = {}
+    for cls in (None, 1, 2):
+        classes = None if cls is None else pixels.selectExpr("pos", "explode(sequence(1990, 2002)) as year", f"cast({cls} as smallint) as cls")
+        rows = workflows.object_based(o, Grid(n_rows=1, n_cols=10), 728000, 45, 60, classes=classes).collect()
+        n[cls] = sum(r["t_break"] > 0 for r in rows if r["t_break"] is not None)
+    assert n[None] <= n[1] and n[2] <= n[1]
+    o.unpersist()
