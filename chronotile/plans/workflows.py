@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronotile.functions import columns as C
 from chronotile.operators import cm, kernels, landcover, objects, raster, segments
 from chronotile.schema import LAUNCH, NO_DATA, Grid
+from chronotile.streaming import nrt
 
 
 def change_maps(changed: DataFrame, magnitudes: DataFrame) -> DataFrame:
@@ -48,6 +49,24 @@ def yearly_features(found: DataFrame, pixels: DataFrame, years: list[int], bands
     return every.join(held, ["pos", "day"], "left").select("pos", "year", F.array(*each).alias("f"))
 
 
+def features_now(packs: DataFrame, day: int, names=("a0", "a1", "b1")) -> DataFrame:
+    """(pos, day, f): features of the models that packs stand on, at a day, band after band (six; the thermal one has none and is NO_DATA);
+    a pixel without a model has NO_DATA alone."""
+    rows = nrt.nested(packs).select("pos", "model")
+    c = F.col("model.coefs")
+    n = F.greatest(F.col("model.num_obs") - 6, F.lit(1))
+    terms = {"a0": lambda b: c[b][0] + c[b][1] * day / 10000.0, "c1": lambda b: c[b][1] / 10000.0} | {x: (lambda b, k=k: c[b][k]) for k, x in enumerate(("a1", "b1", "a2", "b2"), 2)} | {"error": lambda b: F.sqrt(F.col("model.rmse_sum")[b] / n)}
+    missing = F.lit(float(NO_DATA))
+    each = [F.coalesce(terms[x](b), missing) if b < 6 else missing for b in range(7) for x in names]
+    return rows.select("pos", F.lit(day).alias("day"), F.array(*each).alias("f"))
+
+
+def classify_now(packs: DataFrame, model, day: int) -> DataFrame:
+    """(pos, year, cls): a forest applied to the models that packs stand on."""
+    found = features_now(packs, day)
+    return landcover.classify(found.select("pos", F.year(C.from_ordinal(F.col("day"))).alias("year"), "f"), model)
+
+
 def classify_years(found: DataFrame, labels: DataFrame, years: list[int], train_year: int, trees: int = 100, depth: int = 20) -> DataFrame:
     """(pos, year, cls): a forest learned at train_year from labelled pixels (pos, cls), applied to all years."""
     pixels = found.select("pos").distinct()

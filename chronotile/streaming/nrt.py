@@ -106,3 +106,19 @@ def stream(obs: DataFrame, **parameters) -> DataFrame:
 def latest(updates: DataFrame) -> DataFrame:
     """Of what a stream wrote (batch: its number, as that of the folder) the newest pack of each pixel."""
     return updates.groupBy("pos").agg(F.max_by(F.struct("nrt_mode", "n_segments", "last_break", "num_obs"), "batch").alias("m")).select("pos", "m.*")
+
+
+_SEGMENT = "t_start: int, t_break: int, num_obs: int, coefs: array<array<double>>, rmse: array<double>, magnitude: array<double>"
+_MODEL = "t_start: int, num_obs: int, coefs: array<array<double>>, covariance: array<array<array<double>>>, h: array<double>, rmse_sum: array<double>, day: int, norm_cm: double, cm_angle: double, conse_last: int"
+STATE = f"nrt_mode: smallint, min_rmse: array<int>, segments: array<struct<{_SEGMENT}>>, model: struct<{_MODEL}>, days: array<int>, values: array<array<double>>, late: int"
+
+
+def nested(packs: DataFrame) -> DataFrame:
+    """Packs with their state as columns and structs, as they may be stored and queried."""
+    return packs.select("pos", F.from_json("pack", f"struct<{STATE}>").alias("s")).select("pos", "s.*")
+
+
+def packed_again(rows: DataFrame) -> DataFrame:
+    """(pos, pack) of nested() rows, to be updated."""
+    names = [x.split(":")[0] for x in ("nrt_mode:", "min_rmse:", "segments:", "model:", "days:", "values:", "late:")]
+    return rows.select("pos", F.to_json(F.struct(*names)).alias("pack"))

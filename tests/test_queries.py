@@ -151,3 +151,29 @@ def test_objects_with_classes(spark):
         n[cls] = sum(r["t_break"] > 0 for r in rows if r["t_break"] is not None)
     assert n[None] <= n[1] and n[2] <= n[1]
     o.unpersist()
+
+
+def test_nested_states_and_features_now(spark):
+    """Packs as structs and back are the same states; features at a day are those of the models."""
+    import numpy as np
+
+    from chronotile.operators import nrt
+    from chronotile.plans import workflows
+    from chronotile.streaming import nrt as packs
+
+    rows = registry.queries()["sccd"](spark, DATA).persist()
+    before = {r["pos"]: nrt.Pack.loads(r["pack"]) for r in rows.collect()}
+    again = {r["pos"]: nrt.Pack.loads(r["pack"]) for r in packs.packed_again(packs.nested(rows)).collect()}
+    for pos, a in before.items():
+        b = again[pos]
+        assert (a.nrt_mode, a.days, a.late, len(a.segments)) == (b.nrt_mode, b.days, b.late, len(b.segments)) and (a.model is None) == (b.model is None)
+        assert a.model is None or all(np.allclose(a.model[k], b.model[k]) for k in a.model)
+    day = 730500
+    for r in workflows.features_now(rows, day).collect():
+        m = before[r["pos"]].model
+        if m:
+            c = np.array(m["coefs"])
+            assert np.allclose(np.array(r["f"]).reshape(7, 3)[:6], np.column_stack([c[:, 0] + c[:, 1] * day / 10000, c[:, 2], c[:, 3]]))
+        else:
+            assert set(r["f"]) == {-9999.0}
+    rows.unpersist()
