@@ -6,8 +6,9 @@ from a merge to the places of its token pair, and the merges are applied to all
 of their ranks, each touching only its places and their neighbours. What a word became is kept
 (up to a bound) for later stretches of the same worker. Ids equal those of the tiktoken library.
 
-A null or empty text has no ids; both digests are then those of the empty string. Rows that
-repeat are encoded each on its own; an input column named like a result gives way.
+A null or empty text has no ids; both digests are then those of the empty string. A very long text is encoded as a
+whole, in a batch of its own; long words are encoded but not kept. Pairs of one rank merge from the left. Rows that
+repeat are encoded each on its own; an empty table gives no rows; an input column named like a result gives way.
 """
 
 from __future__ import annotations

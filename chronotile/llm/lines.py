@@ -10,8 +10,8 @@ words. Texts come in the order of their ids (null last; then of a hash), places
 
 A fingerprint or run is held against its first place only, never against all others, so that rows grow with
 the lines. Lines are compared by 64-bit hashes. Rows that repeat both id and text are one text,
-which isn't deleted for its own sake. A null or empty text has no lines and stays as it is. Other
-columns stay; one named like a result or a working column gives way. An empty table gives
+which isn't deleted for its own sake. A null or empty text has no lines and stays as it is; a very long one
+is cut like any other, as its lines are one array. Other columns stay; one named like a result or a working column gives way. An empty table gives
 an empty result.
 
 A fingerprint of three places or more may have its first one in other context than two later ones share.
