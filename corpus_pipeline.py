@@ -1,7 +1,13 @@
 """A training-data pipeline over documents: what is poor, toxic or a copy goes, the rest is packed.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and
-returns the columns of documents; the last returns the pieces of packed sequences.
+returns the columns of documents; the last returns the pieces of packed sequences. Further columns of docs, and
+any that are named like an operator's own, are left out.
+
+A null or empty text fails the quality rules and goes; the later stages, given such texts, keep those that
+aren't toxic, one of each id's copies, and pack them as their end alone. Null ids are kept like others and lose to any id.
+Very long texts are judged and packed whole. Of rows that repeat, exact dedup leaves one. Without labels of both
+classes no document is toxic. An empty table leads to an empty table of the same columns at every stage.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the policy v1 keeps."""
+    """Documents that the policy v1 of the rules' ledger keeps."""
     return quality.keep_good(docs.select(COLUMNS), "v1")
 
 
