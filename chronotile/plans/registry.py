@@ -403,6 +403,11 @@ def sccd(spark, d):
     return nrt.detect(A.obs(spark, d))
 
 
+@query()
+def sccd_change_magnitude(spark, d):
+    return nrt.change_magnitude(nrt.detect(A.obs(spark, d)))
+
+
 @query()
 def sccd_update(spark, d):
     o = A.obs(spark, d)

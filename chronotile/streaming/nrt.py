@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronotile.functions import columns as C
 from chronotile.operators import kernels, nrt
 from chronotile.schema import BANDS, validate
 
@@ -122,3 +123,18 @@ def packed_again(rows: DataFrame) -> DataFrame:
     """(pos, pack) of nested() rows, to be updated."""
     names = [x.split(":")[0] for x in ("nrt_mode:", "min_rmse:", "segments:", "model:", "days:", "values:", "late:")]
     return rows.select("pos", F.to_json(F.struct(*names)).alias("pack"))
+
+
+def change_magnitude(packs: DataFrame) -> DataFrame:
+    """(pos, magnitude): by band the median difference from the model over the newest observations that leave it; zeros for none."""
+    rows = nested(packs).select("pos", F.coalesce("model.conse_last", F.lit(0)).alias("n"), F.col("model.coefs").alias("c"), "days", "values")
+    rows = rows.select("pos", "n", "c", F.expr("IF(n > 0, slice(days, -n, n), array())").alias("days"), F.expr("IF(n > 0, slice(values, -n, n), array())").alias("values"))
+
+    def band(b: int):
+        c = F.col("c")[b]
+        off = F.zip_with("values", "days", lambda v, d: v[b] - (c[0] + c[1] * d / 10000.0 + sum(c[2 * k] * F.cos(d * (k * C.W)) + c[2 * k + 1] * F.sin(d * (k * C.W)) for k in (1, 2))))
+        s = F.array_sort(off)
+        middle = (F.get(s, F.floor((F.col("n") - 1) / 2).cast("int")) + F.get(s, F.floor(F.col("n") / 2).cast("int"))) / 2
+        return F.when(F.col("n") > 0, middle).otherwise(0.0)
+
+    return rows.select("pos", F.array(*[band(b) for b in range(6)]).alias("magnitude"))

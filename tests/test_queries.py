@@ -168,6 +168,14 @@ def test_nested_states_and_features_now(spark):
         b = again[pos]
         assert (a.nrt_mode, a.days, a.late, len(a.segments)) == (b.nrt_mode, b.days, b.late, len(b.segments)) and (a.model is None) == (b.model is None)
         assert a.model is None or all(np.allclose(a.model[k], b.model[k]) for k in a.model)
+    for r in packs.change_magnitude(rows).collect():
+        assert np.allclose(r["magnitude"], nrt.change_magnitude(before[r["pos"]]))
+    days, bands, qa = (np.arange(728000, 730400, 8), *(np.array([500, 700, 600, 3000, 1800, 900, 2900.0])[:, None] + np.random.default_rng(3).normal(0, 20, (7, 300)) for _ in range(1)), np.zeros(300, int))
+    bands[:6, -5:] += 1500
+    left = nrt.detect(days, np.round(bands), qa)
+    assert left.model["conse_last"] == 5
+    one = spark.createDataFrame([(1, left.dumps())], "pos long, pack string")
+    assert np.allclose(packs.change_magnitude(one).first()["magnitude"], nrt.change_magnitude(left)) and min(nrt.change_magnitude(left)) > 1000
     day = 730500
     for r in workflows.features_now(rows, day).collect():
         m = before[r["pos"]].model
