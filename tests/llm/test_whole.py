@@ -146,3 +146,22 @@ def test_near_bands_differ_by_partition():
     for n in range(1, 400):
         low, high = near.sizes(near.partition(n))
         assert low <= n <= high and near.partition(low) == near.partition(high) == near.partition(n)
+
+
+def test_near_excerpts_all_holders(spark):
+    """Against brute force: texts held by one that is no bucket's lead, short excerpts of long texts, excerpts in several texts."""
+    r = random.Random(11)
+    rows = []
+    for k in range(12):
+        words = [f"e{k}w{j}" for j in range(r.choice((30, 80, 200)))]
+        rows.append((1000 + k, " ".join(words)))
+        for i in range(4):  # each holds another part of it; two hold less than 0.8
+            n = int(len(words) * (0.9, 0.95, 0.7, 0.5)[i])
+            rows.append((100 * i + k + (400 if k % 2 else 0), " ".join([*words[:n], *said(r.randint(1, 8) * len(words), f"h{k}i{i}x")])))
+    rows = list({i: (i, x) for i, x in rows}.values())
+    sets = {i: set(near.shingles(t.encode()).tolist()) for i, t in rows}
+    got = {x["doc_id"]: x for x in near.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    of = {i: x["class_id"] for i, x in got.items()}
+    held = {(i, j) for i in sets for j in sets if of[i] != of[j] and len(sets[i]) <= len(sets[j]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i]) - 1e-9}
+    assert len(held) >= 24
+    assert {i: x["within_id"] for i, x in got.items()} == {i: max((b for a, b in held if a == i), default=None) for i in sets}
