@@ -1,13 +1,14 @@
 """Related-document packing.
 
-Every text becomes token ids and an end id, with a sketch of its tokens and token triples. Texts are
-dealt out by ranges of a locality key from the sketch, so that related ones meet in a task; the ids
-are written to the shared folder before, so that they are made once. A task takes its texts in key
-order, a stretch of them at a time: sketches that agree in a slot join neighbours (each text
-with the next of the same value, so a slot adds one edge a text), and paths are walked over this
-graph from the unvisited text of the lowest degree on, each time to the most similar unvisited
-neighbour. Along the paths sequences of SIZE tokens are filled, texts being cut where a sequence
-ends. What is left at a task's end is cut into powers of two, which need no padding.
+Every text becomes token ids and an end id, with a sketch of its tokens and token triples. The ids are written to the shared
+folder, so that they are made once. Of all texts those of the same value in a slot of their sketches are linked, each with
+the next in order of a locality key, so that a slot adds one edge a text; an edge weighs by the slots that it has. From the
+heaviest on, edges whose texts are ends of two different paths join these (of equals by a hash), until none is left that can.
+Edges that are the heaviest of both their paths can be taken all at once, as no other comes before them: rounds of joins take them until
+GREEDY edges are left at most, which one task goes through. Texts are dealt out by ranges of their paths' keys, and along the paths
+sequences of SIZE tokens are filled, texts being cut where a sequence ends; the paths of a stretch are walked over by the sketches of
+their first texts, from the one of the lowest degree on, each time to the most similar unvisited one. What is left at a task's end is cut
+into powers of two, which need no padding.
 
 A null or empty text is its end id alone. A text's own markers of special tokens become these tokens, as the library has it. A
 very long text runs through as many sequences as it needs. Texts of equal keys come in the order of their ids. Every row
@@ -35,6 +36,8 @@ TRIPLES, SINGLES = 8, 4
 STRETCH, PART = 8 << 20, 12 << 20
 #: Of a large corpus partitions get longer, not more; what a task holds is a stretch all the same.
 MOST_PARTS = 8192
+#: Edges that one task goes through; while there are more, rounds of joins take all that can be taken at once.
+GREEDY = 1_000_000
 MAX_KEPT, MAX_WORD = 400_000, 64
 #: None of these is a letter, a digit, an apostrophe or white space, or joins with a letter before it.
 SIGNS = ".,;:!?()[]{}#*$%&|<>-_=+/@"
@@ -194,28 +197,166 @@ def _closed(open_: list, sequence: int):
         at += n
 
 
+def _slots(batches):
+    """A row for each slot of each text (tid, sketch, key)."""
+    for batch in common.pieces(batches, 1 << 20):
+        s = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(batch.num_rows, -1)
+        n = s.shape[1]
+        again = [np.repeat(batch.column(c).to_numpy(), n) for c in (0, 2)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(n, dtype=np.int32), len(s))), pa.array(s.ravel()), pa.array(again[1]), pa.array(again[0])], names=["slot", "value", "key", "tid"])
+
+
+def _next(batches):
+    """Of rows (slot, value, key, tid) in order each one and the next with its value, and what the slot adds to the edge; the first and the last row (end 0 and 1) for the neighbouring partitions."""
+    part, names = TaskContext.get().partitionId(), ["a", "b", "w", "slot", "value", "part", "end"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+    last = None
+    border = lambda x, end: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((x[2], None, None, x[0], x[1], part, end), kinds, strict=True)], names=names)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        slot, value, tid = (batch.column(c).to_numpy() for c in (0, 1, 3))
+        if last is None:
+            yield border((slot[0], value[0], tid[0]), 0)
+        else:
+            slot, value, tid = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(last, (slot, value, tid), strict=True))
+        same = np.flatnonzero((slot[1:] == slot[:-1]) & (value[1:] == value[:-1]))
+        w = np.where(slot[same] < TRIPLES, SINGLES + 1, 1).astype(np.int32)
+        n = len(same)
+        yield pa.RecordBatch.from_arrays([pa.array(tid[same]), pa.array(tid[same + 1]), pa.array(w), *(pa.nulls(n, t) for t in kinds[3:])], names=names)
+        last = slot[-1], value[-1], tid[-1]
+    if last is not None:
+        yield border(last, 1)
+
+
+def edges(made: DataFrame, parts: int) -> DataFrame:
+    """(a, b, w) of all texts (tid, sketch, key), a < b: those next to each other in slots, and by how much."""
+    slots = made.select("tid", "sketch", "key").mapInArrow(_slots, "slot int, value long, key long, tid long")
+    near = slots.repartitionByRange(parts, "slot", "value", "key", "tid").sortWithinPartitions("slot", "value", "key", "tid")
+    found = common.materialize(near.mapInArrow(_next, "a long, b long, w int, slot int, value long, part int, end int"), "slots")
+    # Two rows a partition: what the last of one and the first of the next have in common.
+    rows = sorted(found.filter("part is not null").select("part", "end", "slot", "value", "a").collect())
+    over = [(x.a, y.a, SINGLES + 1 if x.slot < TRIPLES else 1) for x, y in zip(rows[:-1], rows[1:], strict=True) if (x.end, y.end) == (1, 0) and (x.slot, x.value) == (y.slot, y.value)]
+    each = found.filter("part is null").select("a", "b", "w").unionByName(made.sparkSession.createDataFrame(over, "a long, b long, w int"))
+    out = common.materialize(each.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").cast("int").alias("w")), "edges")
+    common.release(found)
+    return out
+
+
+_MOVED = "path long, to long, flip boolean, add long, size long, to_key long"
+
+
+def joined(rows: list[np.ndarray]) -> list[tuple]:
+    """What becomes of paths when edges are taken in their order: (path, to, flip, add, size, key of to). rows: of each edge
+    both paths, its texts' places in these, the paths' sizes and keys."""
+    pa_, pb_, ia, ib, na, nb, ka, kb = (x.tolist() for x in rows)
+    root: dict[int, int] = {}
+    size, key = {}, {}
+    taken: dict[int, list[tuple[int, int, int]]] = {}
+
+    def find(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    for p, q, i, j, n, m, k, l in zip(pa_, pb_, ia, ib, na, nb, ka, kb, strict=True):
+        own, other = taken.get(p, ()), taken.get(q, ())
+        if (own and (len(own) == 2 or (n > 1 and own[0][0] == i))) or (other and (len(other) == 2 or (m > 1 and other[0][0] == j))):
+            continue
+        x, y = find(p), find(q)
+        if x == y:
+            continue
+        root[x] = y
+        size[p], size[q], key[p], key[q] = n, m, k, l
+        taken.setdefault(p, []).append((i, q, j))
+        taken.setdefault(q, []).append((j, p, i))
+    out, done = [], set()
+    for start in taken:
+        if len(taken[start]) == 2 or start in done:
+            continue
+        at, chain, add, before, entry = start, [], 0, None, None
+        while at is not None:
+            done.add(at)
+            on = next((x for x in taken[at] if x[1] != before), None)
+            flip = entry != 0 if entry is not None else on[0] != size[at] - 1
+            chain.append((at, flip, add))
+            add += size[at]
+            before, at, entry = (at, on[1], on[2]) if on else (at, None, None)
+        out += [(p, start, flip, plus, add, key[start]) for p, flip, plus in chain]
+    return out
+
+
+def _greedy(batches):
+    """joined() of all rows (pa, pb, ia, ib, na, nb, ka, kb, w, h, a, b) of a task, the heaviest first."""
+    table = pa.Table.from_batches(list(batches)) if batches else None
+    column = lambda c: table.column(c).to_numpy()
+    order = np.lexsort([column(c) for c in ("b", "a", "h", "w")])[::-1]
+    moved = joined([column(c)[order] for c in ("pa", "pb", "ia", "ib", "na", "nb", "ka", "kb")])
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+    columns = zip(*moved, strict=True) if moved else [[]] * 6
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["path", "to", "flip", "add", "size", "to_key"])
+
+
+def path_places(made: DataFrame, parts: int, greedy: int | None = None) -> DataFrame:
+    """(tid, path, pos, n, pkey) of all texts (tid, sketch, key): each one's path, its place there, the path's size and key."""
+    greedy = GREEDY if greedy is None else greedy
+    places = made.select("tid", F.col("tid").alias("path"), F.lit(0).cast("long").alias("pos"), F.lit(1).cast("long").alias("n"), F.col("key").alias("pkey"))
+    open_ = edges(made, parts)
+    held = False
+    while True:
+        ends = places.filter("pos = 0 or pos = n - 1")
+        side = [ends.select(F.col("tid").alias(c), F.col("path").alias(f"p{c}"), F.col("pos").alias(f"i{c}"), F.col("n").alias(f"n{c}"), F.col("pkey").alias(f"k{c}")) for c in "ab"]
+        live = common.materialize(open_.select("a", "b", "w").join(side[0], "a").join(side[1], "b").filter("pa <> pb").withColumn("h", F.xxhash64("a", "b")), "live")
+        common.release(open_)
+        open_ = live
+        left = live.count()
+        if not left:
+            common.release(live)
+            return places
+        if left <= greedy:
+            moved = live.repartition(1).mapInArrow(_greedy, _MOVED)
+        else:
+            each = F.struct("w", "h", "a", "b", "pa", "pb", "ia", "ib", "na", "nb", "ka", "kb")
+            best = live.select(F.col("pa").alias("p"), each.alias("e")).unionByName(live.select(F.col("pb").alias("p"), each.alias("e"))).groupBy("p").agg(F.max("e").alias("e"))
+            both = best.groupBy("e.a", "e.b").agg(F.count("*").alias("c"), F.first("e").alias("e")).filter("c = 2").select("e.*")
+            moved = both.select(F.explode(F.array(
+                F.struct(F.col("pa").alias("path"), F.col("pa").alias("to"), F.expr("ia <> na - 1").alias("flip"), F.lit(0).cast("long").alias("add"), F.expr("na + nb").alias("size"), F.col("ka").alias("to_key")),
+                F.struct(F.col("pb").alias("path"), F.col("pa").alias("to"), F.expr("ib <> 0").alias("flip"), F.col("na").alias("add"), F.expr("na + nb").alias("size"), F.col("ka").alias("to_key")),
+            )).alias("m")).select("m.*")
+        new = places.join(common.materialize(moved, "moved"), "path", "left")
+        new = new.select("tid", F.coalesce("to", "path").alias("path"), F.when(F.col("to").isNull(), F.col("pos")).when(F.col("flip"), F.expr("add + n - 1 - pos")).otherwise(F.expr("add + pos")).alias("pos"), F.coalesce("size", "n").alias("n"), F.coalesce("to_key", "pkey").alias("pkey"))
+        before, places = places, common.materialize(new, "places")
+        if held:
+            common.release(before)
+        held = True
+        if left <= greedy:
+            common.release(live)
+            return places
+
+
 def _pack(batches):
     base = TaskContext.get().partitionId() << 32
     held: dict[int, tuple] = {}
-    number = path_number = 0
+    number = 0
     done: list[tuple] = []
 
     def stretch(rows):
-        nonlocal number, path_number
-        graph = neighbours(np.array([np.frombuffer(r[3], np.uint64) for r in rows]))
-        for path in paths(graph):
-            for i in path:
-                doc, raw, wide, _ = rows[i]
-                ids = np.frombuffer(raw, "<u2" if wide == 2 else "<u4")
-                held[number] = (doc, ids)
-                number += 1
-                yield number - 1, len(ids), path_number
-            path_number += 1
+        nonlocal number
+        firsts = [k for k in range(len(rows)) if not k or rows[k][4] != rows[k - 1][4]]
+        graph = neighbours(np.array([np.frombuffer(rows[k][3], np.uint64) for k in firsts]))
+        for walk in paths(graph):
+            for i in walk:
+                for doc, raw, wide, _, path in rows[firsts[i] : firsts[i + 1] if i + 1 < len(firsts) else len(rows)]:
+                    ids = np.frombuffer(raw, "<u2" if wide == 2 else "<u4")
+                    held[number] = (doc, ids)
+                    number += 1
+                    yield number - 1, len(ids), path
 
     def stream():
         rows, size = [], 0
         for batch in common.pieces(batches, STRETCH):
-            for r in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for r in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 rows.append(r)
                 size += len(r[1]) + 100
                 if size >= STRETCH:
@@ -231,7 +372,7 @@ def _pack(batches):
 
     for k, start, n, sequence, offset, path in fill(stream()):
         doc, ids = held[k]
-        done.append((doc, start, n, zlib.crc32(ids[start : start + n].astype("<u4").tobytes()), len(ids), base + sequence, offset, base + path))
+        done.append((doc, start, n, zlib.crc32(ids[start : start + n].astype("<u4").tobytes()), len(ids), base + sequence, offset, path))
         if start + n == len(ids):
             del held[k]
         if len(done) >= 10_000:
@@ -242,10 +383,12 @@ def _pack(batches):
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of all texts of docs in sequences. tokenizer: a file that each machine has at this path."""
-    made = common.materialize(tokenized(docs, tokenizer, id_col, text_col), "ids")
+    made = common.materialize(tokenized(docs, tokenizer, id_col, text_col).withColumn("tid", F.monotonically_increasing_id()), "ids")
     size = made.agg(F.sum(F.length("ids"))).first()[0] or 0
-    near = made.repartitionByRange(max(1, min(size // PART, MOST_PARTS)), "key", "doc_id").sortWithinPartitions("key", "doc_id", F.crc32("ids"))
-    return near.select("doc_id", "ids", "wide", "sketch").mapInArrow(_pack, PIECES)
+    parts = max(1, min(size // PART, MOST_PARTS))
+    placed = made.drop("key").join(path_places(made, parts).select("tid", "path", "pos", "pkey"), "tid")
+    near = placed.repartitionByRange(parts, "pkey", "path", "pos").sortWithinPartitions("pkey", "path", "pos")
+    return near.select("doc_id", "ids", "wide", "sketch", "path").mapInArrow(_pack, PIECES)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,3 +165,34 @@ def test_near_excerpts_all_holders(spark):
     held = {(i, j) for i in sets for j in sets if of[i] != of[j] and len(sets[i]) <= len(sets[j]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i]) - 1e-9}
     assert len(held) >= 24
     assert {i: x["within_id"] for i, x in got.items()} == {i: max((b for a, b in held if a == i), default=None) for i in sets}
+
+
+def test_packing_meets_related_texts_of_all_tasks(spark, monkeypatch):
+    """Pairs of related texts, dealt over many tasks, lie in one path; paths in rounds and in one task are the same."""
+    import public_tokenizers
+    from chronotile.llm import packing
+
+    monkeypatch.setattr(packing, "PART", 2000)
+    r = random.Random(13)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(3000)]
+    rows = []
+    for k in range(60):
+        base = r.sample(words, 60)
+        rows += [(k, " ".join(base)), (100 + k, " ".join([*r.sample(words, 20), *base[20:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    path = defaultdict(set)
+    for x in packing.pack(df, tokenizer).collect():
+        path[x["doc_id"]].add(x["path_id"])
+    assert all(len(x) == 1 for x in path.values()) and len(path) == 120
+    assert sum(path[k] == path[100 + k] for k in range(60)) >= 57
+    made = packing.common.materialize(packing.tokenized(df, tokenizer).withColumn("tid", packing.F.monotonically_increasing_id()), "ids")
+    order = []
+    for greedy in (0, 10**6):
+        got = defaultdict(list)
+        for x in packing.path_places(made, 5, greedy).collect():
+            got[x["path"]].append((x["pos"], x["tid"], x["n"]))
+        assert all(sorted(p for p, _, _ in each) == list(range(len(each))) and {n for _, _, n in each} == {len(each)} for each in got.values())
+        chains = [[t for _, t, _ in sorted(each)] for each in got.values()]
+        order.append(sorted(min(c, c[::-1]) for c in chains))
+    assert order[0] == order[1]
