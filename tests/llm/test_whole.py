@@ -196,3 +196,20 @@ def test_packing_meets_related_texts_of_all_tasks(spark, monkeypatch):
         chains = [[t for _, t, _ in sorted(each)] for each in got.values()]
         order.append(sorted(min(c, c[::-1]) for c in chains))
     assert order[0] == order[1]
+
+
+def test_pipeline_packs_related_texts_of_all_tasks(spark, monkeypatch):
+    """The pipeline's last stage leaves related texts in one path, however many tasks there are."""
+    import corpus_pipeline
+    from chronotile.llm import packing
+
+    monkeypatch.setattr(packing, "PART", 1000)
+    r = random.Random(17)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(3000)]
+    rows = []
+    for k in range(40):
+        base = r.sample(words, 60)
+        rows += [(i, " ".join(x), "en", "s", 1) for i, x in ((k, base), (100 + k, [*r.sample(words, 20), *base[20:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    path = {x["doc_id"]: x["path_id"] for x in corpus_pipeline.pack(spark, df, "").collect()}
+    assert len(path) == 80 and sum(path[k] == path[100 + k] for k in range(40)) >= 38
