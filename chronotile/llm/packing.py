@@ -4,6 +4,8 @@ Every text becomes token ids and an end id, with a sketch of its tokens and toke
 folder, so that they are made once. Of all texts those of the same value in a slot of their sketches are linked, each with
 the next in order of a locality key, so that a slot adds one edge a text; an edge weighs by the slots that it has. From the
 heaviest on, edges whose texts are ends of two different paths join these (of equals by a hash), until none is left that can.
+Then the ends of paths are linked and joined in the same way, as a text's neighbours in a slot may lie inside paths by now while others of
+its value are ends still, again and again until no two paths have ends of the same value in a slot.
 Edges that are the heaviest of both their paths can be taken all at once, as no other comes before them: rounds of joins take them until
 GREEDY edges are left at most, which one task goes through. Texts are dealt out by ranges of their paths' keys, and along the paths
 sequences of SIZE tokens are filled, texts being cut where a sequence ends; the paths of a stretch are walked over by the sketches of
@@ -299,10 +301,25 @@ def _greedy(batches):
 
 
 def path_places(made: DataFrame, parts: int, greedy: int | None = None) -> DataFrame:
-    """(tid, path, pos, n, pkey) of all texts (tid, sketch, key): each one's path, its place there, the path's size and key."""
-    greedy = GREEDY if greedy is None else greedy
+    """(tid, path, pos, n, pkey) of all texts (tid, sketch, key): each one's path, its place there, the path's size and key. No two
+    paths are left of which ends have a slot's value in common."""
     places = made.select("tid", F.col("tid").alias("path"), F.lit(0).cast("long").alias("pos"), F.lit(1).cast("long").alias("n"), F.col("key").alias("pkey"))
-    open_ = edges(made, parts)
+    total, todo, several = made.count(), made, parts
+    first = True
+    while (new := _taken(places, edges(todo, several), greedy)) is not None:
+        if not first:
+            common.release(places)
+        places, first = new, False
+        # In a slot a text has edges to its neighbours alone, and these may lie inside a path by now. So the ends of paths are chained anew. Where
+        # those of several paths share a value, two of different paths are next to each other, so each pass joins some, until none are left.
+        todo = made.join(places.filter("pos = 0 or pos = n - 1").select("tid"), "tid")
+        several = max(1, min(parts, parts * todo.count() // max(1, total) + 1))
+    return places
+
+
+def _taken(places: DataFrame, open_: DataFrame, greedy: int | None) -> DataFrame | None:
+    """places after the edges (a, b, w) that can be taken, the heaviest first; None if none can. It reads places only."""
+    greedy = GREEDY if greedy is None else greedy
     held = False
     while True:
         ends = places.filter("pos = 0 or pos = n - 1")
@@ -313,7 +330,7 @@ def path_places(made: DataFrame, parts: int, greedy: int | None = None) -> DataF
         left = live.count()
         if not left:
             common.release(live)
-            return places
+            return places if held else None
         if left <= greedy:
             moved = live.repartition(1).mapInArrow(_greedy, _MOVED)
         else:

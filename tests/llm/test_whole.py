@@ -213,3 +213,28 @@ def test_pipeline_packs_related_texts_of_all_tasks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
     path = {x["doc_id"]: x["path_id"] for x in corpus_pipeline.pack(spark, df, "").collect()}
     assert len(path) == 80 and sum(path[k] == path[100 + k] for k in range(40)) >= 38
+
+
+def test_packing_leaves_no_ends_of_like_texts_apart(spark):
+    """No two paths are left of which ends agree in a slot of their sketches: what a chain's neighbours leave is joined too."""
+    import numpy as np
+    import public_tokenizers
+    from chronotile.llm import packing
+
+    r = random.Random(19)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(400)]
+    bases = [r.sample(words, 40) for _ in range(6)]
+    rows = [(k, " ".join([*r.sample(bases[k % 6], 25), *r.sample(words, 10)])) for k in range(120)]
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    made = packing.common.materialize(packing.tokenized(df, tokenizer).withColumn("tid", packing.F.monotonically_increasing_id()), "ids")
+    sketch = {x["tid"]: np.frombuffer(x["sketch"], np.uint64).tolist() for x in made.collect()}
+    for greedy in (30, 10**6):
+        got = packing.path_places(made, 3, greedy).collect()
+        assert len(got) == len({x["tid"] for x in got}) == 120
+        at = defaultdict(set)
+        for x in got:
+            if x["pos"] in (0, x["n"] - 1):
+                for slot, value in enumerate(sketch[x["tid"]]):
+                    at[slot, value].add(x["path"])
+        assert max(map(len, at.values())) == 1
