@@ -21,14 +21,14 @@ def test_what_meets_in_a_task_is_small(spark, monkeypatch):
 
     monkeypatch.setattr(near, "_several", spy)
     r = np.random.default_rng(1)
-    texts = spark.createDataFrame([(k, 1, r.integers(0, 2**32, near.HASHES, dtype=np.uint64).astype("<u4").tobytes()) for k in range(9000)], "tid long, n long, sig binary")
+    texts = spark.createDataFrame([(k, 1, r.integers(0, 2**32, near.HASHES, dtype=np.uint64).astype("<u4").tobytes()) for k in range(17000)], "tid long, n long, sig binary")
     assert near.shared_buckets(texts).filter("tid < 0").count() == 0
     docs = spark.createDataFrame([(k, " ".join(random.Random(k % 3).choices("abcdefgh", k=400_000))) for k in range(4)], "doc_id long, text string")
     rows, own = near.texts_of(docs, "doc_id", "text")
-    big = own.withColumn("n", near.F.lit(1_200_000).cast("long"))  # as if the texts were so long
+    big = own.withColumn("n", near.F.lit(8_000_000).cast("long"))  # as if the texts were so long
     near.holders(docs, big, own.select("tid", near.F.col("tid").alias("label")), "text", near.T, True)
     parts = dict(seen)
-    assert 9000 / parts["buckets"] <= 4096 and 3 * 1_200_000 / parts["shingles"] <= 1 << 20
+    assert 17000 / parts["buckets"] <= 4096 and 3 * 8_000_000 / parts["shingles"] <= 1 << 20
 
 
 def test_batches_of_long_rows_are_short(spark):
