@@ -39,3 +39,16 @@ def test_batches_of_long_rows_are_short(spark):
     usual = spark.conf.get(common._BATCH)
     got = common.materialize(spark.range(100).mapInArrow(sizes, "n long"), "test", batch=7)
     assert max(x["n"] for x in got.collect()) <= 7 and spark.conf.get(common._BATCH) == usual
+
+
+def test_shuffle_files_go_once_written(spark):
+    """What materialize() shuffled takes no disk when it is written; the rows are there, and the setting is as before."""
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    usual, before = spark.conf.get(common._CLEANUP), shuffled()
+    rows = spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count()
+    made = common.materialize(rows.join(rows.withColumnRenamed("count", "again"), "k"), "test")
+    assert shuffled() <= before and made.count() == 7 and spark.conf.get(common._CLEANUP) == usual
