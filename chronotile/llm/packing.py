@@ -40,7 +40,9 @@ STRETCH, PART = 8 << 20, 12 << 20
 MOST_PARTS = 8192
 #: Edges that one task goes through; while there are more, rounds of joins take all that can be taken at once.
 GREEDY = 1_000_000
-MAX_KEPT, MAX_WORD = 400_000, 64
+#: Rows of texts that a worker gets at a time; parts and pieces of which a worker keeps the ids, and their longest.
+TEXT_ROWS = 2000
+MAX_KEPT, MAX_WORD = 120_000, 64
 #: None of these is a letter, a digit, an apostrophe or white space, or joins with a letter before it.
 SIGNS = ".,;:!?()[]{}#*$%&|<>-_=+/@"
 
@@ -61,6 +63,9 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
+        vocabulary = self.t.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for w, n in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -72,13 +77,26 @@ class Ids:
             word = word.lower()
         return (word, part[len(word) :]) if len(word) < len(part) else (word,)
 
+    def _encoded(self, parts: list[str]) -> dict[str, bytes]:
+        """Each part's ids. Words are encoded as one text and parted at the ids that end a word, if there are as many as words; else one by one."""
+        words = [x for x in parts if x.isalpha() and "\u0130" not in x]
+        made = {}
+        if words:
+            ids = np.array(self.t.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(cuts) == len(words) and cuts[-1] == ids.nbytes:
+                raw = ids.tobytes()
+                made = {x: raw[a:b] for x, a, b in zip(words, [0, *cuts[:-1]], cuts, strict=True)}
+        others = [x for x in parts if x not in made] if len(made) < len(parts) else []
+        each = self.t.encode_batch_fast(others, add_special_tokens=False) if others else []
+        return made | {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(others, each, strict=True)}
+
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         known, pieces = self.known, self.pieces
         cut = [t.decode().replace("\n", " ").split(" ") for t in texts]
         new = {p: self._pieces(p) for p in {p for parts in cut for p in parts if p not in known}}
         unseen = list({x for each in new.values() for x in each if x not in pieces})
-        made = self.t.encode_batch_fast(unseen, add_special_tokens=False) if unseen else []
-        pieces |= {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(unseen, made, strict=True)}
+        pieces |= self._encoded(unseen)
         known |= {p: b"".join([pieces[x] for x in each]) for p, each in new.items()}
         out = [np.frombuffer(b"".join([*map(known.__getitem__, parts), END.to_bytes(4, "little")]), "<u4") for parts in cut]
         for kept, fresh in ((known, list(new)), (pieces, unseen)):
@@ -115,9 +133,10 @@ def sketches(texts: list[np.ndarray]) -> np.ndarray:
 def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, sketch, key). key sorts related texts together: by their rarest-hashing tokens, then a triple."""
 
+    @common.trimmed
     def run(batches):
         common.enter("packing", _ids.cache_clear)
-        for batch in common.pieces(batches, 4 << 20):
+        for batch in common.pieces(batches, 2 << 20):
             ids = _ids(tokenizer)(common.texts(batch, "__text"))
             s = sketches(ids)
             keys = (s[:, TRIPLES] >> np.uint64(52) << np.uint64(51)) | (s[:, TRIPLES + 1] >> np.uint64(52) << np.uint64(39)) | (s[:, 0] >> np.uint64(25))
@@ -352,6 +371,7 @@ def _taken(places: DataFrame, open_: DataFrame, greedy: int | None) -> DataFrame
             return places
 
 
+@common.trimmed
 def _pack(batches):
     base = TaskContext.get().partitionId() << 32
     held: dict[int, tuple] = {}
@@ -400,7 +420,7 @@ def _pack(batches):
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of all texts of docs in sequences. tokenizer: a file that each machine has at this path."""
-    made = common.materialize(tokenized(docs, tokenizer, id_col, text_col).withColumn("tid", F.monotonically_increasing_id()), "ids")
+    made = common.materialize(tokenized(docs, tokenizer, id_col, text_col).withColumn("tid", F.monotonically_increasing_id()), "ids", batch=TEXT_ROWS)
     size = made.agg(F.sum(F.length("ids"))).first()[0] or 0
     parts = max(1, min(size // PART, MOST_PARTS))
     placed = made.drop("key").join(path_places(made, parts).select("tid", "path", "pos", "pkey"), "tid")

@@ -52,3 +52,19 @@ def test_shuffle_files_go_once_written(spark):
     rows = spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count()
     made = common.materialize(rows.join(rows.withColumnRenamed("count", "again"), "k"), "test")
     assert shuffled() <= before and made.count() == 7 and spark.conf.get(common._CLEANUP) == usual
+
+
+def test_tokenizer_keeps_few_ids():
+    """What a worker keeps of a corpus of ever new words is bounded well below 100 MB, and words that are encoded together have the ids they have alone."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from chronotile.llm import packing
+
+    ids = packing.Ids(public_tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(4)
+    for _ in range(4):
+        ids([" ".join("".join(r.choices("abcdefghij", k=9)) for _ in range(50_000)).encode()])
+    assert len(ids.known) <= 150_000 and len(ids.pieces) <= 150_000
+    odd = ["Stra\u00dfe", "\u0130stanbul", "\u0958\u0959", "don't", "ab12", "<|endoftext|>", "\u00e9t\u00e9", "x\u0301y", "\u4e2d\u6587", "\U00010428", "A", "na\u00efve,", ""]
+    for text in (" ".join(odd), " ".join(reversed(odd)), " ".join(w for w in odd if w.isalpha())):
+        fresh = packing.Ids(public_tokenizers.path("word_bpe_49k.json"))
+        assert fresh([text.encode()])[0].tolist() == [*fresh.t.encode(text, add_special_tokens=False).ids, packing.END]
