@@ -43,6 +43,8 @@ LEAST = 2
 STRETCH = 8 << 20
 #: Tokens that meet in a task, about, and those of texts that are dealt out at a time; texts whose sums go back together.
 MEET, DEAL, BLOCK = 1_200_000, 1 << 20, 4096
+#: Tokens, about, that a task holds against each other at a time.
+SLICE = 1 << 18
 #: Symbols: 0 is a word that isn't in training texts, FIRST the begin of a text, FIRST + c a word seen c < LEAST times, and more than LEAST + FIRST - 1 the others by rank.
 FIRST = 1
 #: The end of a text, and the mark before its first word; no word is empty or holds white space.
@@ -348,10 +350,64 @@ def _dealt(parts: int, most: int):
     return run
 
 
-def predicted(before: list[np.ndarray], x: np.ndarray, learn: np.ndarray, root: np.ndarray, discount: float, least: float, gain: float) -> np.ndarray:
+def predicted(before: list[np.ndarray], x: np.ndarray, learn: np.ndarray, p: np.ndarray, discount: float, least: float, gain: float) -> np.ndarray:
     """The probability of each token x after symbols before it (the nearest first; 0: in no run), by the tree of those to learn from. Of each
-    first symbol before, all tokens are given. root: the probabilities without context."""
-    p = root.copy()
+    first symbol before, all tokens are given. p: the probabilities without context, which are changed. About SLICE tokens are held against each other at a
+    time: all those of some contexts, or, where a context has more, first its own counts and then its longer contexts by themselves."""
+    todo = [(np.arange(len(x), dtype=np.uint32), 0)]
+    while todo:
+        at, depth = todo.pop()
+        at = at[before[depth][at] > 0]
+        at = at[np.argsort(before[depth][at])]
+        w = before[depth][at]
+        begins = np.append(0, np.flatnonzero(w[1:] != w[:-1]) + 1)[: len(w)]
+        sizes = np.diff(begins, append=len(at))
+        cut = np.flatnonzero((np.diff(begins // SLICE, prepend=-1) > 0) | (sizes > SLICE) | np.append(False, sizes[:-1] > SLICE))
+        for a, b, size in zip(begins[cut].tolist(), [*begins[cut[1:]].tolist(), len(at)], sizes[cut].tolist(), strict=False):
+            own = at[a:b]
+            if size <= SLICE:
+                p[own] = _deeper([w[own] for w in before[depth:]], x[own], learn[own], p[own], discount, least, gain)
+                continue
+            if _alone(own, x, learn, p, discount, least, gain) and depth + 1 < len(before):
+                todo.append((own.copy(), depth + 1))
+    return p
+
+
+def _states(of: np.ndarray, k: np.ndarray, told: np.ndarray, n: np.ndarray, gain: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which contexts of n occurrences are states, and their listed symbols' number and occurrences. of, k, told: of each listed symbol its
+    context, its occurrences there and its probability after the shorter one."""
+    total = lambda v: np.bincount(of, v, len(n))
+    kinds, seen = np.bincount(of, minlength=len(n)), total(k)
+    rest, left = n - seen, np.maximum(1e-12, 1 - total(told))
+    gained = total(k * np.log(k / n[of] / told)) + np.where(rest > 0, rest * np.log(np.where(rest > 0, rest, 1) / np.maximum(n, 1) / left), 0)
+    return (kinds > 0) & (gained >= gain * kinds), kinds, seen
+
+
+def _alone(at: np.ndarray, x: np.ndarray, learn: np.ndarray, p: np.ndarray, discount: float, least: float, gain: float) -> bool:
+    """The probabilities p of the tokens at these places become those after their context, which is one for all. Whether it is seen as often as counts."""
+    each = np.unique(x[at])
+    k, told = np.zeros(len(each), np.int64), np.zeros(len(each))
+    for a in range(0, len(at), SLICE):
+        own = at[a : a + SLICE]
+        run = np.searchsorted(each, x[own])
+        np.add.at(k, run[learn[own]], 1)
+        told[run] = p[own]
+    n = np.array([k.sum()])
+    if n[0] < least:
+        return False
+    listed = (k >= least) & _known(each)
+    state, kinds, seen = _states(np.zeros(int(listed.sum()), np.int64), k[listed], told[listed], n, gain)
+    if state[0]:
+        share = np.where(listed, np.maximum(k - discount, 0), 0.0) / n[0]
+        left = 1 - (seen[0] - discount * kinds[0]) / n[0]
+        for a in range(0, len(at), SLICE):
+            own = at[a : a + SLICE]
+            p[own] = share[np.searchsorted(each, x[own])] + left * p[own]
+    return True
+
+
+def _deeper(before: list[np.ndarray], x: np.ndarray, learn: np.ndarray, p: np.ndarray, discount: float, least: float, gain: float) -> np.ndarray:
+    """predicted() of tokens that agree in the symbols nearer than those before; p: the probabilities after these, which are changed."""
     at, context = np.arange(len(x)), np.zeros(len(x), np.int64)
     for w in before:
         # A context that is seen fewer times than counts has no longer one either.
@@ -367,12 +423,7 @@ def predicted(before: list[np.ndarray], x: np.ndarray, learn: np.ndarray, root:
         first[run] = np.arange(len(run))  # any token of a run tells its context, symbol and probability so far
         k = np.bincount(run[learn[at]], minlength=len(each))
         listed = (k >= least) & _known(x[at[first]])
-        of, k_, told = context[first[listed]], k[listed], p[at[first[listed]]]
-        total = lambda v: np.bincount(of, v, len(n))  # noqa: E731, B023
-        kinds, seen = np.bincount(of, minlength=len(n)), total(k_)
-        rest, left = n - seen, np.maximum(1e-12, 1 - total(told))
-        gained = total(k_ * np.log(k_ / n[of] / told)) + np.where(rest > 0, rest * np.log(np.where(rest > 0, rest, 1) / np.maximum(n, 1) / left), 0)
-        state = (kinds > 0) & (gained >= gain * kinds)
+        state, kinds, seen = _states(context[first[listed]], k[listed], p[at[first[listed]]], n, gain)
         share = np.where(listed, np.maximum(k - discount, 0), 0.0)
         inside = state[context]
         i, c = at[inside], context[inside]
@@ -433,15 +484,20 @@ _OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_
 
 def _summed(table: pa.Table, ends: np.ndarray, counts: np.ndarray, roots, discount: float, gain: float, block: int):
     """The tokens' log10 probabilities, summed by text: of each block of texts their numbers there and the sums."""
-    columns: list[list[np.ndarray]] = [[] for _ in range(DEPTH + 2)]
     firsts, sizes = table.column("first").to_pylist(), table.column("n").to_pylist()
+    columns, at = [np.empty(sum(sizes), np.uint32) for _ in range(DEPTH + 2)], 0
     for n, raw in zip(sizes, table.column("data"), strict=True):
         data = pa.decompress(raw.as_buffer(), 4 * n * (DEPTH + 2), codec="zstd", asbytes=True)
         for k, column in enumerate(columns):
-            column.append(unplanes(data[4 * n * k : 4 * n * (k + 1)]))
-    *before, x, text = (np.concatenate(columns.pop(0)) for _ in range(DEPTH + 2))
-    seen = np.where(x >= FIRST + LEAST, counts[np.minimum(np.searchsorted(ends, x.astype(np.int64) - FIRST - LEAST, "right"), len(counts) - 1)] if len(counts) else 0, np.where(x > FIRST, x.astype(np.int64) - FIRST, 0))
-    p = np.log10(predicted(before, x.astype(np.int64), text % 2 == 0, roots(seen), discount, LEAST, gain))
+            column[at : at + n] = unplanes(data[4 * n * k : 4 * n * (k + 1)])
+        at += n
+    *before, x, text = columns
+    p = np.empty(len(x))
+    for a in range(0, len(x), SLICE):
+        own = x[a : a + SLICE].astype(np.int64)
+        p[a : a + SLICE] = roots(np.where(own >= FIRST + LEAST, counts[np.minimum(np.searchsorted(ends, own - FIRST - LEAST, "right"), len(counts) - 1)] if len(counts) else 0, np.where(own > FIRST, own - FIRST, 0)))
+    p = predicted(before, x, text % 2 == 0, p, discount, LEAST, gain)
+    np.log10(p, out=p)
     text >>= 1
     blocks: list[int] = []
     data: list[bytes] = []
@@ -461,7 +517,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     held_out: a boolean column, true for texts that nothing is learned from."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("__text"))
-    read = common.materialize(docs.mapInArrow(_read, _READ), "stretches", "zstd")
+    read = common.materialize(docs.mapInArrow(common.trimmed(_read), _READ), "stretches", "zstd")
     words = read.filter("word is not null and chunk is not null").select("chunk", F.col("n_tokens").alias("place"), "word", "n")
     totals = common.materialize(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
     stats = totals.agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > 0).alias("kinds"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()

@@ -68,3 +68,29 @@ def test_tokenizer_keeps_few_ids():
     for text in (" ".join(odd), " ".join(reversed(odd)), " ".join(w for w in odd if w.isalpha())):
         fresh = packing.Ids(public_tokenizers.path("word_bpe_49k.json"))
         assert fresh([text.encode()])[0].tolist() == [*fresh.t.encode(text, add_special_tokens=False).ids, packing.END]
+
+
+def test_tokens_after_one_word_take_little(monkeypatch):
+    """What scoring holds beside the tokens after one word is bounded, and slices give what all tokens at a time give."""
+    import tracemalloc
+
+    from chronotile.llm import suffixtree
+
+    def given(n, words):
+        r = np.random.default_rng(6)
+        x, *before = ((r.zipf(1.3, n) % words + 3).astype(np.uint32) for _ in range(suffixtree.DEPTH + 1))
+        before[0][: n // 2] = before[1][: n // 3] = 5
+        before[1][n // 2 :][::7] = 0
+        x[::11] = 0
+        return before, x, r.random(n) < 0.9, np.full(n, 1e-3)
+
+    whole = suffixtree.predicted(*given(40_000, 50), 0.5, 2, 2.0)
+    monkeypatch.setattr(suffixtree, "SLICE", 500, raising=False)
+    assert np.allclose(suffixtree.predicted(*given(40_000, 50), 0.5, 2, 2.0), whole, rtol=1e-12) and len(set(whole.tolist())) > 1000
+    monkeypatch.undo()
+    before, x, learn, root = given(3_000_000, 100_000)
+    before[0][:] = 5
+    tracemalloc.start()
+    suffixtree.predicted(before, x, learn, root, 0.5, 2, 2.0)
+    assert tracemalloc.get_traced_memory()[1] < 48 * len(x)
+    tracemalloc.stop()
