@@ -20,11 +20,13 @@ counts, rows that repeat too. An empty table gives no pieces. Only id and text a
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,8 @@ STRETCH, PART = 8 << 20, 12 << 20
 MOST_PARTS = 8192
 #: Edges that one task goes through; while there are more, rounds of joins take all that can be taken at once.
 GREEDY = 1_000_000
+#: Texts of which the ranks along paths are broadcast (8 bytes each at most); of more, ids meet them in a join.
+RANKED = 20_000_000
 #: Rows of texts that a worker gets at a time; parts and pieces of which a worker keeps the ids, and their longest.
 TEXT_ROWS = 2000
 MAX_KEPT, MAX_WORD = 120_000, 64
@@ -78,27 +82,40 @@ class Ids:
         return (word, part[len(word) :]) if len(word) < len(part) else (word,)
 
     def _encoded(self, parts: list[str]) -> dict[str, bytes]:
-        """Each part's ids. Words are encoded as one text and parted at the ids that end a word, if there are as many as words; else one by one."""
-        words = [x for x in parts if x.isalpha() and "\u0130" not in x]
-        made = {}
+        """Each part's ids. The normalizer and the pre-tokenizer leave an ASCII word in lower case as it is, so the model gets it at once. Other
+        words are encoded as one text and parted at the ids that end a word, if there are as many as words; else one by one."""
+        model = self.t.model.tokenize
+        made = {x: struct.pack(f"<{len(ids)}I", *[k.id for k in ids]) for x in parts if x.isascii() and x.isalpha() and x.islower() for ids in (model(x),)}
+        words = [x for x in parts if x not in made and x.isalpha() and "\u0130" not in x]
         if words:
             ids = np.array(self.t.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(cuts) == len(words) and cuts[-1] == ids.nbytes:
                 raw = ids.tobytes()
-                made = {x: raw[a:b] for x, a, b in zip(words, [0, *cuts[:-1]], cuts, strict=True)}
+                made |= {x: raw[a:b] for x, a, b in zip(words, [0, *cuts[:-1]], cuts, strict=True)}
         others = [x for x in parts if x not in made] if len(made) < len(parts) else []
         each = self.t.encode_batch_fast(others, add_special_tokens=False) if others else []
         return made | {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(others, each, strict=True)}
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         known, pieces = self.known, self.pieces
-        cut = [t.decode().replace("\n", " ").split(" ") for t in texts]
-        new = {p: self._pieces(p) for p in {p for parts in cut for p in parts if p not in known}}
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_binary()).cast(pa.large_string()), "\n", " "), " ")
+        coded = cut.values.dictionary_encode()
+        parts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = {p: self._pieces(p) for p in parts if p not in known}
         unseen = list({x for each in new.values() for x in each if x not in pieces})
         pieces |= self._encoded(unseen)
         known |= {p: b"".join([pieces[x] for x in each]) for p, each in new.items()}
-        out = [np.frombuffer(b"".join([*map(known.__getitem__, parts), END.to_bytes(4, "little")]), "<u4") for parts in cut]
+        # Each text's parts and its end, as places among the different parts' ids.
+        each = [*map(known.__getitem__, parts), END.to_bytes(4, "little")]
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), "<u4")
+        last = cut.offsets.to_numpy()[1:]
+        at = np.insert(coded.indices.to_numpy().astype(np.int64), last, len(parts))
+        n = size[at]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(size) - size)[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        out = np.split(ids, ends[last + np.arange(len(last))])[:-1]
         for kept, fresh in ((known, list(new)), (pieces, unseen)):
             room = max(0, MAX_KEPT - (len(kept) - len(fresh)))  # the frequent ones come early
             for k, x in enumerate(fresh):
@@ -423,11 +440,52 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     made = common.materialize(tokenized(docs, tokenizer, id_col, text_col).withColumn("tid", F.monotonically_increasing_id()), "ids", batch=TEXT_ROWS)
     size = made.agg(F.sum(F.length("ids"))).first()[0] or 0
     parts = max(1, min(size // PART, MOST_PARTS))
-    placed = made.drop("key").join(path_places(made, parts).select("tid", "path", "pos", "pkey"), "tid")
+    places = path_places(made, parts)
+    if (total := places.count()) <= RANKED:
+        return _ranked(made, places, total, parts).mapInArrow(_pack, PIECES)
+    placed = made.drop("key").join(places.select("tid", "path", "pos", "pkey"), "tid")
     near = placed.repartitionByRange(parts, "pkey", "path", "pos").sortWithinPartitions("pkey", "path", "pos")
     return near.select("doc_id", "ids", "wide", "sketch", "path").mapInArrow(_pack, PIECES)
 
 
+def _ranked(made: DataFrame, places: DataFrame, total: int, parts: int) -> DataFrame:
+    """(doc_id, ids, wide, sketch, path) of made's texts along their paths, dealt over the parts. A text's rank and place in its path are broadcast,
+    packed, so that its ids move once."""
+    spark = made.sparkSession
+    order = common.materialize(places.orderBy("pkey", "path", "pos").select("tid", "pos", F.monotonically_increasing_id().alias("id")), "order")
+    sizes = dict(order.groupBy(F.shiftright("id", 33).cast("int")).count().collect())
+    begins = np.array([sum(n for q, n in sizes.items() if q < p) for p in range(max(sizes, default=0) + 1)], np.int64)
+
+    def packed(table: pa.Table) -> pa.Table:
+        tid, pos, id_ = (table.column(c).to_numpy() for c in ("tid", "pos", "id"))
+        by = np.argsort(tid)
+        rank = begins[id_ >> 33] + (id_ & ((1 << 33) - 1))
+        data = pa.compress(rank[by].astype("<u4").tobytes() + pos[by].astype("<u4").tobytes(), codec="zstd", asbytes=True)
+        return pa.table({"source": tid[:1] >> 33, "n": [len(tid)], "data": pa.array([data], pa.binary())})
+
+    found = order.groupBy(F.shiftright("tid", 33)).applyInArrow(packed, "source long, n long, data binary").collect()
+    sent = spark.sparkContext.broadcast({x["source"]: (x["n"], bytes(x["data"])) for x in found})
+    common.release(order)
+
+    def attach(batches):
+        at, rank, pos = -1, None, None
+        for batch in common.pieces(batches):
+            tid = batch.column(4).to_numpy()
+            own, first = np.empty(len(tid), np.int64), np.empty(len(tid), np.int64)
+            for source in np.unique(tid >> 33).tolist():
+                if source != at:
+                    n, raw = sent.value[source]
+                    rank, pos = np.frombuffer(pa.decompress(raw, 8 * n, codec="zstd", asbytes=True), "<u4").reshape(2, -1).astype(np.int64)
+                    at = source
+                here = tid >> 33 == source
+                own[here] = rank[tid[here] & ((1 << 33) - 1)]
+                first[here] = own[here] - pos[tid[here] & ((1 << 33) - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(first), pa.array(own), pa.array((own * parts // total).astype(np.int32))], names=["doc_id", "ids", "wide", "sketch", "path", "rank", "part"])
+
+    rows = made.select("doc_id", "ids", "wide", "sketch", "tid").mapInArrow(attach, "doc_id long, ids binary, wide int, sketch binary, path long, rank long, part int")
+    return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("rank").select("doc_id", "ids", "wide", "sketch", "path")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -238,3 +238,31 @@ def test_packing_leaves_no_ends_of_like_texts_apart(spark):
                 for slot, value in enumerate(sketch[x["tid"]]):
                     at[slot, value].add(x["path"])
         assert max(map(len, at.values())) == 1
+
+
+def test_packing_moves_ids_once(spark, monkeypatch):
+    """Ids are shuffled once, and paths and their texts' order are those that a join gives."""
+    import public_tokenizers
+    from chronotile.llm import packing
+
+    monkeypatch.setattr(packing, "PART", 4000)
+    r = random.Random(23)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(300)]
+    rows = [(k, " ".join(r.sample(words, 40))) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = []
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for ranked in (10**6, 0):
+            monkeypatch.setattr(packing, "RANKED", ranked, raising=False)
+            made = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"))
+            plan = made._jdf.queryExecution().optimizedPlan().toString()
+            paths = defaultdict(list)
+            for x in sorted(made.collect(), key=lambda x: (x["sequence_id"], x["offset"])):
+                paths[x["path_id"]].append((x["doc_id"], x["start"] == 0, x["doc_tokens"]))
+            assert {d for each in paths.values() for d, *_ in each} == set(range(150))
+            got.append((plan.count("Join"), sorted(sorted({d for d, *_ in each}) for each in paths.values())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert got[0][0] == 0 and got[1][0] == 1 and got[0][1] == got[1][1]
