@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 
-from chronotile.operators import cold, lockstep
+from chronotile.operators import cold, lockstep, nrt
 from tests.test_kernels import series
 
 
@@ -85,3 +85,36 @@ def test_cold_of_many_pixels_costs_a_part_of_single_ones():
     t = time.process_time()
     lockstep.detect(given)
     assert time.process_time() - t < single / 2.5
+
+
+def near(a, b) -> bool:
+    if isinstance(a, dict):
+        return a.keys() == b.keys() and all(near(a[k], b[k]) for k in a)
+    if isinstance(a, list) and a and isinstance(a[0], dict):
+        return len(a) == len(b) and all(map(near, a, b))
+    return a is b or (a is not None and b is not None and np.shape(a) == np.shape(b) and np.allclose(a, b, rtol=1e-6, atol=1e-6, equal_nan=True))
+
+
+@pytest.mark.parametrize("conse", [1, 4, 6])
+def test_packs_in_step_are_packs(conse):
+    """From nothing, and from packs of every mode."""
+    given = pixels(66)
+    first = lockstep.update([nrt.Pack() for _ in given], [(d[:150], b[:, :150], q[:150]) for d, b, q in given], conse=conse)
+    want = [nrt.detect(d[:150], b[:, :150], q[:150], conse=conse) for d, b, q in given]
+    assert all(near(vars(a), vars(b)) for a, b in zip(first, want, strict=True))
+    rest = [(d[140:], b[:, 140:], q[140:]) for d, b, q in given]
+    then = [nrt.update(p, *r, conse=conse) for p, r in zip(first, rest, strict=True)]
+    assert all(near(vars(a), vars(b)) for a, b in zip(lockstep.update(first, rest, conse=conse), then, strict=True))
+    assert sum(bool(p.segments) for p in then) > 3 and len({p.nrt_mode for p in then}) > 2 and any(p.late for p in then)
+    assert lockstep.update([], []) == []
+
+
+def test_packs_of_many_pixels_cost_a_part_of_single_ones():
+    given = [series(300, 8, 150 if k % 3 == 0 else None, seed=k) for k in range(120)]
+    t = time.process_time()
+    for args in given[:20]:
+        nrt.detect(*args)
+    single = (time.process_time() - t) * 6
+    t = time.process_time()
+    lockstep.update([nrt.Pack() for _ in given], given)
+    assert time.process_time() - t < single / 2
