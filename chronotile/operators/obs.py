@@ -28,8 +28,8 @@ def clear(obs: DataFrame) -> DataFrame:
 
 def one_a_day(obs: DataFrame) -> DataFrame:
     """Of a pixel's observations on a day the first."""
-    nth = F.row_number().over(Window.partitionBy("pos", "date").orderBy("seq"))
-    return obs.withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
+    before = F.lag(F.struct("date")).over(series())  # a window by pixel and day would be opened for every row or two
+    return obs.withColumn("__before", before).filter("__before IS NULL OR NOT __before.date <=> date").drop("__before")
 
 
 def ascending(obs: DataFrame) -> DataFrame:

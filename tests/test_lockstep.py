@@ -118,3 +118,39 @@ def test_packs_of_many_pixels_cost_a_part_of_single_ones():
     t = time.process_time()
     lockstep.update([nrt.Pack() for _ in given], given)
     assert time.process_time() - t < single / 2
+
+
+def test_a_stream_takes_neighbours_in_together():
+    """One call for a group of pixels; packs, late observations and pixels that come later are those of single pixels."""
+    import pandas as pd
+
+    from chronotile.schema import BANDS
+    from chronotile.streaming import nrt as packs
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    def frame(pos, days, bands, qa):
+        return pd.DataFrame({"pos": pos, "seq": np.arange(len(days)), "date": days} | dict(zip(BANDS, bands, strict=True)) | {"qa": qa})
+
+    given, state, want = [series(seed=k, jump_at=180 if k else None) for k in range(4)], State(), {}
+    for cut, pixels_of in ((slice(0, 160), (0, 1)), (slice(150, 300), (1, 2, 3))):
+        parts = {k: (given[k][0][cut], given[k][1][:, cut], given[k][2][cut]) for k in pixels_of}
+        (got,) = packs._take_in((0,), iter([frame(k, *p) for k, p in parts.items()]), state, {})
+        for k, p in parts.items():
+            want[k] = nrt.update(want.get(k, nrt.Pack()), *p)
+        assert sorted(got["pos"]) == sorted(parts)
+        assert all(near(vars(nrt.Pack.loads(t)), vars(want[k])) for k, t in zip(got["pos"], got["pack"], strict=True))
+    assert want[1].late == 10 and want[1].segments
+
+
+def test_first_of_a_day_needs_no_window_by_day(spark):
+    from chronotile.operators import obs
+
+    rows = spark.createDataFrame([(1, None, 1), (1, None, 2), (1, 5, 2), (1, 5, 1), (1, 6, 3), (2, 6, 1), (2, 7, 0), (2, 7, 4), (None, 7, 1)], "pos long, date int, seq int")
+    got = obs.one_a_day(rows)
+    assert set(map(tuple, got.collect())) == {(1, None, 1), (1, 5, 1), (1, 6, 3), (2, 6, 1), (2, 7, 0), (None, 7, 1)} and got.count() == 6
+    assert "row_number" not in got._jdf.queryExecution().toString()
