@@ -154,3 +154,16 @@ def test_first_of_a_day_needs_no_window_by_day(spark):
     got = obs.one_a_day(rows)
     assert set(map(tuple, got.collect())) == {(1, None, 1), (1, 5, 1), (1, 6, 3), (2, 6, 1), (2, 7, 0), (None, 7, 1)} and got.count() == 6
     assert "row_number" not in got._jdf.queryExecution().toString()
+
+
+def test_clear_observations_are_not_judged_in_a_filter(spark):
+    """A filter's conditions would each compute the bands anew where these are expressions over a table."""
+    from chronotile.operators import obs
+    from chronotile.schema import BANDS
+
+    rows = spark.range(40).selectExpr("id as pos", "1 as seq", "5 as date", *[f"cast(case when id % 7 = {k} then 20000 when id = 30 then null else 500 + id % 9 end as int) as {b}" for k, b in enumerate(BANDS[:6])], "2900 as thermal", "cast(id % 4 as int) as qa")
+    got = obs.clear(rows)
+    assert got.columns == rows.columns
+    assert sorted(r["pos"] for r in got.collect()) == [k for k in range(40) if k % 7 == 6 and k % 4 < 2 and k != 30]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and not any("Filter" in line and "10000" in line for line in plan.splitlines())
